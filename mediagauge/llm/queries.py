@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("similarity_queries",)
+MODULES = (
+    "similarity_queries",
+    "contributor_queries",
+    "consensus_queries",
+    "line_queries",
+    "truncation_queries",
+    "token_queries",
+    "leakage_queries",
+    "abuse_queries",
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
