@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediagauge.llm.vectors import Plan, Vectors, exact_cosines, maybe_broadcast, representatives, route, select_vectors, slack, unpack_rows
+from mediagauge.llm.vectors import Plan, Vectors, exact_cosines, maybe_broadcast, one_level, representatives, route, select_vectors, slack, unpack_rows
 from mediagauge.session import discard, materialize
 
 #: Neighbours kept for each vector while the graph is built.
 GRAPH_K = 8
-#: Cosine under which a vector is no neighbour.
-FLOOR = 0.5
+#: Cosine under which two vectors are no neighbours; the graph holds no edge below it.
+FLOOR = 0.8
+#: Two trees of different kinds, so that neighbours whom one of them parts meet in the other.
+PLAN = Plan(trees=(("bisect", 2), ("pivot", 2)), bits=16)
 #: Members of a node's neighbourhood that are joined, nearest first, reverse neighbours included.
 POOL = 32
 #: Rounds stop when fewer than this share of the edges is new.
@@ -65,57 +67,73 @@ def _cell(dim: int, k: int, floor: float):
     return run
 
 
-def _strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one node's neighbourhood that no cell has held together, each seen from its first vector."""
-    for batch in batches:
-        a, b, ca, cb = [], [], [], []
-        for members in batch.column("members").to_pylist():
-            if len(members) < 2:
-                continue
-            cells = [m["c"] for m in members]
-            for i, one in enumerate(members):
-                home = cells[i][0]
-                for j, two in enumerate(members):
-                    if one["m"] != two["m"] and home not in cells[j]:
-                        a.append(one["m"])
-                        b.append(two["m"])
-                        ca.append(cells[i])
-                        cb.append(cells[j])
-        many = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ca, many), pa.array(cb, many)], names=["a", "b", "ca", "cb"])
-
-
-def _descend(edges: DataFrame, source: DataFrame, k: int, floor: float) -> tuple[DataFrame, int]:
+def _strangers(homes: int):
+    """Pairs of one node's neighbourhood that no cell has held together, each seen from its first vector.
+
+    The first ``homes`` of a vector's cells are its nearest ones, where its neighbours were looked for.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, ca, cb = [], [], [], []
+            for members in batch.column("members").to_pylist():
+                if len(members) < 2:
+                    continue
+                cells = np.array([m["c"] for m in members])
+                ids = [m["m"] for m in members]
+                met = np.zeros((len(ids), len(ids)), dtype=bool)
+                for h in range(homes):
+                    met |= (cells[:, None, h, None] == cells[None, :, :]).any(axis=2)
+                for i, j in zip(*np.nonzero(~met), strict=True):
+                    if ids[i] != ids[j]:
+                        a.append(ids[i])
+                        b.append(ids[j])
+                        ca.append(members[i]["c"])
+                        cb.append(members[j]["c"])
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ca, many), pa.array(cb, many)], names=["a", "b", "ca", "cb"])
+
+    return run
+
+
+def _descend(edges: DataFrame, source: DataFrame, k: int, floor: float, homes: int) -> tuple[DataFrame, int]:
     """One round: the graph with what the neighbours of neighbours add, and how many edges are new."""
     forward = edges.select(F.col("u").alias("node"), F.col("v").alias("m"), F.col("cv").alias("c"), "sim")
     reverse = edges.select(F.col("v").alias("node"), F.col("u").alias("m"), F.col("cu").alias("c"), "sim")
     nearest = Window.partitionBy("node").orderBy(F.desc("sim"), "m")
     pool = forward.union(reverse).withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= POOL)
     pools = pool.groupBy("node").agg(F.collect_set(F.struct("m", "c")).alias("members")).select("members")
-    pairs = pools.mapInArrow(_strangers, "a bigint, b bigint, ca array<bigint>, cb array<bigint>").distinct()
-    pairs = pairs.join(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "neighbour-pairs")
+    pairs = pools.mapInArrow(_strangers(homes), "a bigint, b bigint, ca array<bigint>, cb array<bigint>").distinct()
+    pairs = materialize(pairs.join(edges.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti"), "neighbour-pairs")
     scored = exact_cosines(pairs, source).where(F.col("cosine") >= floor).join(pairs, ["a", "b"])
     added = scored.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("cosine").alias("sim"), F.col("ca").alias("cu"), F.col("cb").alias("cv"))
-    best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     both = edges.withColumn("new", F.lit(0)).unionByName(added.withColumn("new", F.lit(1)))
-    kept = materialize(both.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn"), "neighbour-graph")
+    kept = materialize(_best(both, k), "neighbour-graph")
     new = kept.agg(F.sum("new")).first()[0] or 0
     discard(pairs)
     return kept.drop("new"), new
 
 
-def neighbour_graph(v: Vectors, k: int = GRAPH_K, floor: float = FLOOR, max_rounds: int = MAX_ROUNDS, plan: Plan = Plan()) -> DataFrame:
+def _best(edges: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best edges of each vector, an edge found in several cells once."""
+    best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    once = edges.repartition("u").groupBy("u", "v").agg(F.max(F.struct("sim", *[c for c in edges.columns if c not in ("u", "v", "sim")])).alias("e"))
+    return once.select("u", "v", "e.*").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
+
+
+def neighbour_graph(v: Vectors, k: int = GRAPH_K, floor: float = FLOOR, max_rounds: int = MAX_ROUNDS, plan: Plan = PLAN) -> DataFrame:
     """``u, v, sim, cu, cv``: up to ``k`` nearest representatives of each, with cosine of at least ``floor``."""
     reps = representatives(v)
     graph = None
     for r in v.classes.groupBy("dim").agg(F.count("*").alias("n")).collect():
         mine = reps.where(F.col("dim") == r["dim"])
+        # After a second split a row's list holds the cells of one tree only.
+        homes = len(plan.trees) if one_level(r["n"], plan) else 1
         routed = route(mine, r["dim"], r["n"], plan)
         edges = materialize(routed.groupBy("cell").applyInArrow(_cell(r["dim"], k, floor), _EDGES), "neighbour-graph")
         for _ in range(max_rounds):
             total = edges.count()
-            after, new = _descend(edges, v.source, k, floor)
+            after, new = _descend(edges, v.source, k, floor, homes)
             discard(edges)
             edges = after
             if new <= SETTLED * total:
@@ -128,7 +146,7 @@ def _rank_exactly(graph: DataFrame, v: Vectors, top: int, least: float) -> DataF
     """``u, v, sim`` with cosine of at least ``least``; where 16-bit copies leave a doubt, from the stored vectors."""
     doubt = slack(16)
     w = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    near = graph.where(F.col("sim") >= least - doubt).select("u", "v", "sim")
+    near = graph.where(F.col("sim") >= least - doubt).select("u", "v", "sim").distinct()
     near = near.withColumn("rn", F.row_number().over(w)).withColumn("next", F.lead("sim").over(w))
     tight = (F.col("rn") <= top) & (F.col("sim") - F.col("next") < doubt)
     near = near.withColumn("doubt", F.max((F.abs(F.col("sim") - least) < doubt) | F.coalesce(tight, F.lit(False))).over(Window.partitionBy("u")))

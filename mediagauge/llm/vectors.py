@@ -240,7 +240,7 @@ def pick_pivots(sample: np.ndarray, cells: int, seed: int, most: int) -> np.ndar
 
 # ---- routing ----
 
-#: A routed row: its cell, whether the cell is its nearest one, its copy, and all its cells, nearest first.
+#: A routed row: its cell, whether the cell is its nearest of the tree, its copy, and all its cells, the nearest of each tree first.
 ROUTED = "cell bigint, home boolean, embedding_id bigint, q binary, cells array<bigint>"
 _TREE = 1 << 40
 _PART = 1 << 20
@@ -287,12 +287,10 @@ def _nearest(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
 
 
 def _routed(ids: pa.Array, packed: list[bytes], near: list[np.ndarray], with_cells: bool) -> pa.RecordBatch:
-    """Rows for the cells of ``near``, one array (rows x probes) per tree."""
+    """Rows for the cells of ``near``, one array (rows x probes) per tree; the nearest of each tree come first."""
     n = len(packed)
-    widths = [a.shape[1] for a in near]
-    flat = np.concatenate(near, axis=1) if n else np.zeros((0, sum(widths)), np.int64)
-    home = np.zeros(sum(widths), bool)
-    home[np.cumsum([0, *widths[:-1]])] = True
+    flat = np.concatenate([a[:, :1] for a in near] + [a[:, 1:] for a in near], axis=1)
+    home = np.arange(flat.shape[1]) < len(near)
     rows = np.repeat(np.arange(n), flat.shape[1])
     if with_cells:
         p = flat.shape[1]
@@ -316,6 +314,11 @@ class Plan:
     max_cells: int = MAX_CELLS
 
 
+def one_level(rows: int, plan: Plan) -> bool:
+    """Whether one tree has enough cells for so many rows."""
+    return rows <= plan.cell_rows * plan.max_cells
+
+
 def route(reps: DataFrame, dim: int, rows: int, plan: Plan) -> DataFrame:
     """Every vector of ``reps`` (all of dimension ``dim``, ``rows`` many) in its nearest cells of each tree.
 
@@ -329,7 +332,7 @@ def route(reps: DataFrame, dim: int, rows: int, plan: Plan) -> DataFrame:
     sample = dequantize(taken.column("q").to_pylist(), taken.column("scale").to_numpy(), dim) if taken.num_rows else np.zeros((0, dim), np.float32)
     top = min(want, plan.max_cells)
     sets = [fit_cells(sample, top) if kind == "bisect" else pick_pivots(sample, top, seed, 2 * plan.max_cells) for seed, (kind, _) in enumerate(plan.trees)]
-    parts = math.ceil(want / top)
+    parts = 1 if one_level(rows, plan) else math.ceil(want / top)
     probes = [p if parts == 1 else 1 for _, p in plan.trees]
     bits, with_cells = plan.bits, plan.bits == 16
 
