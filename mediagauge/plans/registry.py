@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with a QUERIES dict and an SQL dict.
-MODULES = ("timestamps",)
+MODULES = ("timestamps", "profiles", "texts")
 
 
 def queries() -> dict[str, Query]:
