@@ -14,6 +14,8 @@ from mediagauge import config as C
 AFFINITIES = sorted(C.AFFINITY_PRIORS)
 DOMAINS = sorted(C.DOMAIN_WEIGHTS)
 BUCKETS = 24 // C.BUCKET_HOURS
+#: Added before rounding, so that exact halves go up whatever their last bit is.
+TIE = 1e-9
 DIM = 1 + len(AFFINITIES) + len(DOMAINS) + BUCKETS
 
 
@@ -23,7 +25,7 @@ def yield_reward(accepted: Column, duplicates: Column, relevance: Column, fetche
     rel = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(relevance, F.lit(0.0)), F.lit(0.0))))
     penalty = F.least(F.lit(0.35), d / F.greatest(F.lit(1), a + d) * 0.35)
     score = 0.70 * F.least(F.lit(1.0), a / F.lit(float(C.YIELD_TARGET))) + 0.30 * rel - penalty
-    return F.when(fetched, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)).otherwise(0.0)
+    return F.when(fetched, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)) + TIE, 4)).otherwise(0.0)
 
 
 def signal_reward(domain: str) -> Column:

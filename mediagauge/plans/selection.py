@@ -144,7 +144,7 @@ _PULLS = f"""{_STD}, st as (select run_id, std_outlet, affinity_tag, count(disti
     round(avg(case when isnan(topic_relevance_score) then null else topic_relevance_score end), 9) as relevance from std group by all),
   runs as (select distinct on (run_id) * from collection_runs where run_id is not null),
   pulls as (select st.*, started_at, reward_mode, round(greatest(0.0, least(1.0, 0.7 * least(1.0, accepted / 8.0) + 0.3 * greatest(0.0, least(1.0, coalesce(relevance, 0.0)))
-      - least(0.35, duplicates::double / greatest(1, accepted + duplicates) * 0.35))), 4) as reward from st join runs using (run_id))"""
+      - least(0.35, duplicates::double / greatest(1, accepted + duplicates) * 0.35))) + 1e-9, 4) as reward from st join runs using (run_id))"""
 _n = lambda names: ", ".join(f"'{x}'" for x in names)
 _ctx = f"""ctx as (select std_outlet as outlet, reward, list_filter([0,
     case when list_contains([{_n(B.AFFINITIES)}], affinity_tag) then list_position([{_n(B.AFFINITIES)}], affinity_tag)::int end,
@@ -160,7 +160,7 @@ SQL = {
     "signal_rewards": f"""with {S.SIG} select outlet_lc, count(*) as signals, round(sum(round(greatest(0.0, least(1.0, {_civic})), 4)), 3) as reward from sig
         where outlet_lc is not null group by 1""",
     "bandit_state": f"""with {_PULLS}, {_ctx}, l as (select outlet, reward, places, unnest(places) as i from ctx), m as (select outlet, reward, i, unnest(places) as j from l)
-        select outlet, i, j, count(*) as a, round(sum(case when i = j then reward end), 4) as b from m group by all""",
+        select outlet, i, j, count(*) as a, round(round(sum(case when i = j then reward end), 8), 4) as b from m group by all""",
     "run_rollup": """with r as (select distinct on (run_id) * from collection_runs where run_id is not null),
         t as (select run_mode, count(*) as runs, sum(feeds_selected)::bigint as feeds, sum(fetch_failed)::bigint as failed, sum(accepted_count)::bigint as accepted,
           sum(epoch(completed_at) - epoch(started_at))::bigint as seconds from r group by 1)
