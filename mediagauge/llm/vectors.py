@@ -242,14 +242,13 @@ def pick_pivots(sample: np.ndarray, cells: int, seed: int, most: int) -> np.ndar
 
 #: A routed row: its cell, whether the cell is its nearest of the tree, its copy, and all its cells, the nearest of each tree first.
 ROUTED = "cell bigint, home boolean, embedding_id bigint, q binary, cells array<bigint>"
-_TREE = 1 << 40
-_PART = 1 << 20
+# A cell's number: tree, cell of the tree, and after a second split 1 + part of that cell.
+_TREE = 1 << 36
+_CELL = 1 << 20
 
 
 def tree_of(cell: int) -> int:
     """The tree to which a cell of either level belongs."""
-    while cell >= _TREE * _PART:
-        cell = cell // _PART - 1
     return cell // _TREE
 
 
@@ -340,7 +339,7 @@ def route(reps: DataFrame, dim: int, rows: int, plan: Plan) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 x = dequantize(batch.column("q").to_pylist(), batch.column("scale").to_numpy(), dim)
-                near = [_nearest(x, c, p) + t * _TREE for t, (c, p) in enumerate(zip(sets, probes, strict=True))]
+                near = [_nearest(x, c, p) * _CELL + t * _TREE for t, (c, p) in enumerate(zip(sets, probes, strict=True))]
                 yield _routed(batch.column("embedding_id"), pack_rows(x, bits), near, with_cells)
 
     routed = reps.select("embedding_id", "q", "scale").mapInArrow(send, ROUTED)
@@ -356,7 +355,7 @@ def _split_cells(first: DataFrame, dim: int, parts: int, plan: Plan) -> DataFram
     def fit(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
         x = unpack_rows(table.column("q").to_pylist(), dim)
-        t = cell // _TREE
+        t = tree_of(cell)
         centres = fit_cells(x, parts) if trees[t][0] == "bisect" else pick_pivots(x, parts, t, 4 * parts)
         return pa.table({"cell": pa.array([cell], pa.int64()), "centres": pa.array([centres.tobytes()], pa.binary())})
 
@@ -369,7 +368,7 @@ def _split_cells(first: DataFrame, dim: int, parts: int, plan: Plan) -> DataFram
         cell = key[0].as_py()
         packed = left.column("q").to_pylist()
         centres = np.frombuffer(right.column("centres")[0].as_py(), dtype=np.float32).reshape(-1, dim)
-        near = _nearest(unpack_rows(packed, dim), centres, trees[cell // _TREE][1]) + (cell + 1) * _PART
+        near = _nearest(unpack_rows(packed, dim), centres, trees[tree_of(cell)][1]) + cell + 1
         ids = left.column("embedding_id").combine_chunks() if left.num_rows else pa.array([], pa.int64())
         return pa.Table.from_batches([_routed(ids, packed, [near], with_cells)])
 
