@@ -17,7 +17,7 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, empty: float = 0.0) -> Column:
-    """Cosine similarity; ``empty`` where a vector has no length."""
+    """Cosine similarity; ``empty`` where a vector is null or has no length."""
     lengths = norm(a) * norm(b)
     return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(empty))
 

@@ -100,7 +100,7 @@ def read_json_records(spark: SparkSession, path: str, record: str) -> DataFrame:
     ``record`` is the DDL of one record; a map's key becomes ``record_id``.
     """
     text = spark.read.text(path, wholetext=True)
-    listed = F.from_json("value", f"array<struct<{record}>>")
+    listed = F.from_json(F.when(F.ltrim("value").startswith("["), F.col("value")), f"array<struct<{record}>>")
     rows = text.select(F.explode(listed).alias("r")).select("r.*", F.lit(None).cast("string").alias("record_id"))
     for name in ("labels", "predictions", "signals", "records", "items"):
         inner = F.from_json(F.get_json_object("value", f"$.{name}"), f"array<struct<{record}>>")
