@@ -110,3 +110,7 @@ def frame_aliases() -> dict[str, str]:
 def frame_detail_aliases() -> dict[str, str]:
     """Spelling to finer frame."""
     return {s: detail for detail, (_, spellings) in FRAME_DETAILS.items() for s in spellings.split()}
+
+# Outlets of the fixed panels by country, and those that a domain adds.
+PANELS = {"CZ": ["irozhlas", "ct24", "idnes", "e15"], "DE": ["tagesschau", "spiegel"], "GLOBAL": ["bbc_world", "bbc", "nytimes", "the_guardian"]}
+PANEL_EXTRAS = {"commerce": ["irozhlas_eko", "e15"], "health": ["irozhlas", "ct24"], "civic": ["irozhlas", "ct24", "idnes"]}

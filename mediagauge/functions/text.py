@@ -159,3 +159,8 @@ def keyword_domain(c: Column, rules: list[tuple[str, str]], default: str) -> Col
             test = text.contains(w) if test is None else test | text.contains(w)
         out = F.when(test, domain) if out is None else out.when(test, domain)
     return out.otherwise(default)
+
+
+def age_days(ts: Column, as_of: Column) -> Column:
+    """Whole days before ``as_of``, at least 0."""
+    return F.greatest(F.lit(0), F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 86_400).cast("int"))

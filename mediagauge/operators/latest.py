@@ -89,3 +89,15 @@ def resolve_topics(raw: DataFrame, aliases: DataFrame) -> DataFrame:
         keyword_domain(F.col("topic"), C.DOMAIN_KEYWORDS, C.DEFAULT_DOMAIN).alias("domain"),
         F.col("canonical_topic_id").isNotNull().alias("known"),
     )
+
+
+def model_version(versions: DataFrame, default: str = "none") -> DataFrame:
+    """One row: the only model version of the rows, ``mixed`` for several, ``default`` for none."""
+    found = F.array_distinct(F.collect_set("model_version"))
+    return versions.agg(F.when(F.size(found) == 0, default).when(F.size(found) == 1, found[0]).otherwise("mixed").alias("model_version"))
+
+
+def panel_outlets(domain: str, country: str | None, panels: dict[str, list[str]], extras: dict[str, list[str]]) -> list[str]:
+    """Outlets of a fixed panel: those of the country, or of all countries, then the domain's, each once."""
+    chosen = panels.get(country.strip().upper(), []) if country and country.strip() else [o for names in panels.values() for o in names]
+    return list(dict.fromkeys([*chosen, *extras.get(domain, [])]))
