@@ -378,9 +378,11 @@ def _split_cells(first: DataFrame, dim: int, parts: int, plan: Plan) -> DataFram
 def exact_cosines(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """``a, b, cosine``: the cosine of each pair of ``pairs`` (a, b) in double precision from the stored vectors."""
     ids = pairs.select(F.col("a").alias("embedding_id")).union(pairs.select(F.col("b").alias("embedding_id"))).distinct()
-    needed = usable_rows(source).join(maybe_broadcast(ids), "embedding_id", "left_semi")
-    needed = needed.groupBy("embedding_id").agg(F.max_by("embedding_vector", "embedded_at").alias("v"), F.first("embedding_vector").alias("w"))
-    needed = needed.select("embedding_id", F.coalesce("v", "w").alias("vec"))
+    # The ids are those of usable rows; their elements need no second look.
+    whole = source.where((F.col("status") == "complete") & (F.size("embedding_vector") == F.col("embedding_dim"))).select("embedding_id", "embedded_at", "embedding_vector")
+    needed = whole.join(maybe_broadcast(ids), "embedding_id", "left_semi")
+    order = F.struct(F.col("embedded_at").isNotNull(), "embedded_at")
+    needed = needed.groupBy("embedding_id").agg(F.max_by("embedding_vector", order).alias("vec"))
     left = needed.select(F.col("embedding_id").alias("a"), F.col("vec").alias("va"))
     right = needed.select(F.col("embedding_id").alias("b"), F.col("vec").alias("vb"))
 
@@ -394,7 +396,8 @@ def exact_cosines(pairs: DataFrame, source: DataFrame) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 p, q = fx[ox[i] : ox[i + 1]], fy[oy[i] : oy[i + 1]]
-                out.append(float(p @ q / math.sqrt((p @ p) * (q @ q))) if len(p) == len(q) else None)
+                square = (p @ p) * (q @ q) if len(p) == len(q) else 0.0
+                out.append(float(p @ q / math.sqrt(square)) if square > 0 else None)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "cosine"])
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(cosine, "a bigint, b bigint, cosine double")
