@@ -27,11 +27,11 @@ def weighted_profiles(signals: DataFrame, keys: list[str] | None = None) -> Data
     """
     keys = [*(keys or []), "segment"]
     rows = unpivot_segments(signals, [k for k in keys if k != "segment"] + ["article_id"])
-    means = [F.round(F.sum(F.col(k) * F.col("weight")) / F.sum("weight"), 4).alias(k) for k in C.SIGNALS]
-    values = rows.groupBy(*keys).agg(*means, F.count("*").alias("article_count"))
-    votes = rows.groupBy(*keys, "frame").agg(F.round(F.sum("weight"), 9).alias("w"))
-    frames = votes.groupBy(*keys).agg(F.min_by("frame", F.struct(-F.col("w"), "frame")).alias("dominant_frame"))
-    return values.join(frames, keys)
+    sums = [F.sum(F.col(k) * F.col("weight")).alias(k) for k in C.SIGNALS]
+    parts = rows.groupBy(*keys, "frame").agg(*sums, F.sum("weight").alias("w"), F.count("*").alias("n"))
+    means = [F.round(F.sum(k) / F.sum("w"), 4).alias(k) for k in C.SIGNALS]
+    frame = F.min_by("frame", F.struct(-F.round("w", 9), "frame")).alias("dominant_frame")
+    return parts.groupBy(*keys).agg(*means, F.sum("n").alias("article_count"), frame)
 
 
 def segment_profile(signals: DataFrame) -> DataFrame:

@@ -60,7 +60,10 @@ def topic_links(signals: DataFrame) -> DataFrame:
 
 
 def in_topic(df: DataFrame, links: DataFrame, topic: str | None) -> DataFrame:
-    """Rows of ``df`` whose article has a link to the topic, by canonical id or raw topic; all rows for no topic."""
+    """Rows of ``df`` whose article has a link to the topic, by canonical id or raw topic; all rows for no topic.
+
+    ``links`` is anything with article_id, topic and canonical_topic_id; both tests reach its scan.
+    """
     if not topic:
         return df
     hit = links.where((F.col("canonical_topic_id") == topic) | (F.col("topic") == topic)).select("article_id").distinct()

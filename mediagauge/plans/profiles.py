@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediagauge import config as C
 from mediagauge.operators import mix, profiles
-from mediagauge.operators.views import Scope, article_view, between, in_topic, scope_filter, signal_view, topic_links, trailing
+from mediagauge.operators.views import Scope, article_view, between, in_topic, scope_filter, signal_view, trailing
 from mediagauge.plans import sqltext as S
 from mediagauge.tables import table
 
@@ -17,7 +17,7 @@ PANEL = ["polanske_listy", "denik_kontura", "radio_lipnava", "trzni_zapisnik", "
 
 def _topical(spark: SparkSession, root: str) -> DataFrame:
     raw = table(spark, root, "signals")
-    return in_topic(signal_view(raw), topic_links(raw), S.TOPIC)
+    return in_topic(signal_view(raw), raw, S.TOPIC)
 
 
 def _current(spark: SparkSession, root: str) -> DataFrame:
