@@ -8,7 +8,6 @@ mark-up or a sentence, unless its last words are a line that the outlet closes m
 
 from __future__ import annotations
 
-import html
 import json
 import re
 import unicodedata
@@ -68,20 +67,26 @@ def ending(value: str, title: str | None = None) -> tuple[int, str, str]:
 
 def lengths(value: str) -> list[int]:
     """Lengths of a value under every entry of ENCODINGS; the bare ones without a closing marker."""
+    characters = len(value)
+    if value.isascii():
+        utf8 = utf16 = characters
+    else:
+        utf8 = len(value.encode("utf-8", "surrogatepass"))
+        utf16 = characters + sum(1 for c in value if c > "\uffff")
+    whole = [characters, utf8, utf16, *_escaped(value, characters)]
     found = _MARKER.search(value)
-    bare = value[: found.start()] if found else value
-    out = []
-    for whole, text in ((True, value), (False, bare)):
-        utf8 = len(text.encode("utf-8", "surrogatepass"))
-        escaped = html.escape(text)
-        quoted = len(json.dumps(text, ensure_ascii=False)) - 2
-        crlf = len(text) + text.count("\n") - text.count("\r\n")
-        if whole:
-            utf16 = len(text) + sum(1 for c in text if ord(c) > 0xFFFF) if not text.isascii() else len(text)
-            out += [len(text), utf8, utf16, len(escaped), quoted, crlf]
-        else:
-            out += [len(text), utf8, len(escaped), quoted, crlf]
-    return out
+    if not found:
+        return [*whole, characters, utf8, *whole[3:]]
+    bare = value[: found.start()]
+    return [*whole, len(bare), len(bare.encode("utf-8", "surrogatepass")), *_escaped(bare, len(bare))]
+
+
+def _escaped(text: str, characters: int) -> tuple[int, int, int]:
+    """Lengths with HTML entities, JSON escapes and CR LF line ends."""
+    feeds = text.count("\n")
+    entities = characters + 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * (text.count('"') + text.count("'"))
+    quoted = len(json.dumps(text, ensure_ascii=False)) - 2
+    return entities, quoted, characters + feeds - text.count("\r\n")
 
 
 def _inspect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
