@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediagauge.functions.literal import literal_table
 from mediagauge.functions.text import display_name, keyword_domain, normalize_topic, slugify
 from mediagauge.operators.views import latest_per_key
 from mediagauge import config as C
@@ -67,7 +68,7 @@ def alias_table(spark) -> DataFrame:
             for name in names.split(", "):
                 pos += 1
                 rows.append((name, topic, language, pos))
-    df = spark.createDataFrame(rows, "alias string, canonical_topic_id string, language string, pos int")
+    df = literal_table(spark, rows, "alias string, canonical_topic_id string, language string, pos int")
     return df.withColumn("alias_key", normalize_topic(F.col("alias"))).drop("alias")
 
 

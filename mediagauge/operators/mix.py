@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagauge import config as C
+from mediagauge.functions.literal import literal_table
 from mediagauge.operators.profiles import weighted_profiles
 
 
@@ -60,7 +61,7 @@ def panel_profile(profiles: DataFrame, panel: list[str]) -> DataFrame:
     dominates, of equally many the first by name.
     """
     spark = profiles.sparkSession
-    order = F.broadcast(spark.createDataFrame([(o.lower(), i) for i, o in enumerate(panel)], "outlet_lc string, pos int"))
+    order = F.broadcast(literal_table(spark, [(o.lower(), i) for i, o in enumerate(panel)], "outlet_lc string, pos int"))
     joined = profiles.join(order, "outlet_lc")
     means = [F.round(F.avg(k), 4).alias(k) for k in C.SIGNALS]
     names = F.transform(F.array_sort(F.collect_list(F.struct("pos", "outlet_lc"))), lambda s: s["outlet_lc"])

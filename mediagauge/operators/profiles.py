@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediagauge import config as C
+from mediagauge.functions.literal import literal_table
 
 
 def unpivot_segments(signals: DataFrame, keep: list[str]) -> DataFrame:
@@ -16,7 +17,7 @@ def unpivot_segments(signals: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _segment_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(C.SEGMENTS)), "pos int, segment string")
+    return literal_table(spark, list(enumerate(C.SEGMENTS)), "pos int, segment string")
 
 
 def weighted_profiles(signals: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -46,7 +47,7 @@ def segment_profile(signals: DataFrame) -> DataFrame:
 def seed_baselines(spark: SparkSession, topics: list[str] | None = None) -> DataFrame:
     """Prior of every topic and segment, as if never learned."""
     rows = [(t, s, *v, 0, False) for t in (topics or C.SEED_TOPICS) for s, v in C.SEED_PRIORS.items()]
-    return spark.createDataFrame(rows, "topic string, segment string, concern_level double, purchase_intent double, avoidance_signals double, dominant_frame string, sample_count int, is_learned boolean")
+    return literal_table(spark, rows, "topic string, segment string, concern_level double, purchase_intent double, avoidance_signals double, dominant_frame string, sample_count int, is_learned boolean")
 
 
 def confidence(articles: Column, samples: Column, learned: Column) -> Column:

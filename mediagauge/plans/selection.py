@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediagauge import config as C
+from mediagauge.functions.literal import literal_table
 from mediagauge.operators import bandit as B
 from mediagauge.operators import ranking as R
 from mediagauge.operators.outlets import with_standard_outlet
@@ -120,7 +121,7 @@ def feed_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Enabled Czech feeds with the share of each segment that their affinity suggests."""
     feeds = table(spark, root, "feeds").where(F.col("enabled") & (F.upper(F.trim("country")) == "CZ"))
     rows = [(a, *v) for a, v in C.AFFINITY_PRIORS.items()]
-    priors = spark.createDataFrame(rows, "affinity_tag string, " + ", ".join(f"prior_{s} double" for s in C.SEGMENTS))
+    priors = literal_table(spark, rows, "affinity_tag string, " + ", ".join(f"prior_{s} double" for s in C.SEGMENTS))
     return feeds.join(F.broadcast(priors), "affinity_tag", "left").select("outlet", "affinity_tag", *[f"prior_{s}" for s in C.SEGMENTS])
 
 
@@ -131,7 +132,7 @@ def blended_shares(spark: SparkSession, root: str) -> DataFrame:
     feeds = table(spark, root, "feeds").select("outlet", "outlet_name", "host", "affinity_tag")
     rows = with_standard_outlet(signal_view(table(spark, root, "signals")), feeds, keep=["affinity_tag"]).where("std_outlet is not null")
     values = [F.coalesce(F.nanvl(F.col(f"seg_{s}"), F.lit(0.0)), F.lit(0.0)) for s in C.SEGMENTS]
-    priors = spark.createDataFrame([(a, *v) for a, v in C.AFFINITY_PRIORS.items()], "affinity_tag string, " + ", ".join(f"prior_{s} double" for s in C.SEGMENTS))
+    priors = literal_table(spark, [(a, *v) for a, v in C.AFFINITY_PRIORS.items()], "affinity_tag string, " + ", ".join(f"prior_{s} double" for s in C.SEGMENTS))
     joined = rows.join(F.broadcast(priors), "affinity_tag")
     blended = [F.round(0.7 * x + 0.3 * F.col(f"prior_{s}"), 4).alias(s) for s, x in zip(C.SEGMENTS, softmax(values), strict=True)]
     return joined.select("std_outlet", *blended).groupBy("std_outlet").agg(F.count("*").alias("signals"), *[F.round(F.avg(s), 3).alias(s) for s in C.SEGMENTS])
