@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediagauge.llm.vectors import Plan, Vectors, exact_cosines, maybe_broadcast, one_level, representatives, route, select_vectors, slack, unpack_rows
+from mediagauge.llm.vectors import Plan, Vectors, _pack, exact_cosines, maybe_broadcast, one_level, representatives, route, select_vectors, slack, unpack_rows, usable_rows
 from mediagauge.session import discard, materialize
 
 #: Neighbours kept for each vector while the graph is built.
@@ -182,3 +182,91 @@ def nearest_pairs(embeddings: DataFrame, top: int = 3, least: float = 0.90, **kw
     w = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "other")
     picked = outward.union(inward).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= top)
     return picked.select(F.least("q", "other").alias("left_id"), F.greatest("q", "other").alias("right_id")).distinct()
+
+
+# ---- search ----
+
+#: Nodes that a search keeps at hand for each query, and rounds after which it ends in any case.
+BEAM = 16
+MAX_STEPS = 8
+
+
+def _packed_queries(queries: DataFrame) -> DataFrame:
+    """Usable query vectors, numbered -1 - query_id so that they never meet the number of a node."""
+    vector = F.col("vector").cast("array<float>")
+    shaped = queries.where("query_id >= 0").select(
+        (-1 - F.col("query_id")).alias("embedding_id"), F.lit(None).cast("string").alias("article_id"), F.lit("complete").alias("status"),
+        F.size("vector").alias("embedding_dim"), F.lit(None).cast("timestamp").alias("embedded_at"), vector.alias("embedding_vector"),
+    )
+    slim = usable_rows(shaped).select(F.lit("").alias("owner"), "embedded_at", "embedding_id", F.col("embedding_vector").alias("vec"))
+    return slim.mapInArrow(_pack, "owner string, embedded_at timestamp, embedding_id bigint, dim int, k1 bigint, k2 bigint, q binary, scale float").select("embedding_id", "dim", "q", "scale")
+
+
+def _entries(dim: int, beam: int):
+    """The nodes of a query's home cells that are nearest to it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("embedding_id").to_numpy()
+        ask = np.flatnonzero((ids < 0) & table.column("home").to_numpy(zero_copy_only=False))
+        nodes = np.flatnonzero(ids >= 0)
+        out_q, out_n, out_s = [], [], []
+        if len(ask) and len(nodes):
+            x = unpack_rows(table.column("q").to_pylist(), dim)
+            for at in range(0, len(ask), 512):
+                s = x[ask[at : at + 512]] @ x[nodes].T
+                b = min(beam, s.shape[1])
+                top = np.argpartition(-s, b - 1, axis=1)[:, :b]
+                out_q.append(np.repeat(ids[ask[at : at + 512]], b))
+                out_n.append(ids[nodes[top]].ravel())
+                out_s.append(np.take_along_axis(s, top, axis=1).ravel())
+        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        return pa.table({"a": join(out_q, np.int64), "node": join(out_n, np.int64), "sim": join(out_s, np.float64)})
+
+    return run
+
+
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sims = []
+        for qa, sa, qb, sb in zip(*(batch.column(c).to_pylist() for c in ("qa", "sa", "qb", "sb")), strict=True):
+            x, y = np.frombuffer(qa, np.int16).astype(np.float64), np.frombuffer(qb, np.int16).astype(np.float64)
+            sims.append(float(x @ y * sa * sb) if len(x) == len(y) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("node"), pa.array(sims, pa.float64())], names=["a", "node", "sim"])
+
+
+def search_graph(v: Vectors, graph: DataFrame, queries: DataFrame, k: int = 3, least: float = FLOOR, beam: int = BEAM, plan: Plan = PLAN) -> DataFrame:
+    """``query_id, embedding_id, cosine, rank``: the ``k`` nodes of the graph most similar to each query.
+
+    ``queries`` have query_id (not negative) and vector; unusable vectors find nothing. A query
+    enters the graph at the nearest nodes of its cells and follows edges greedily: the nodes at
+    hand are its ``beam`` best so far, and it ends when their neighbours bring none that is
+    better. Nodes under ``least`` are not reported; copies of a vector are one node, the
+    smallest id. Cosines have four decimals.
+    """
+    asked = materialize(_packed_queries(queries), "search-queries")
+    reps = representatives(v)
+    nearest = Window.partitionBy("a").orderBy(F.desc("sim"), "node")
+    best = None
+    for r in v.classes.groupBy("dim").agg(F.count("*").alias("n")).collect():
+        mine = reps.where(F.col("dim") == r["dim"]).union(asked.where(F.col("dim") == r["dim"]))
+        part = route(mine, r["dim"], r["n"], plan).groupBy("cell").applyInArrow(_entries(r["dim"], beam), "a bigint, node bigint, sim double")
+        best = part if best is None else best.union(part)
+    if best is None:
+        best = v.rows.sparkSession.createDataFrame([], "a bigint, node bigint, sim double")
+    keep = lambda df: materialize(df.groupBy("a", "node").agg(F.max("sim").alias("sim")).withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= beam).drop("rn"), "search-beam")
+    best = keep(best)
+    edges = graph.select(F.col("u").alias("node"), F.col("v").alias("next")).union(graph.select(F.col("v").alias("node"), F.col("u").alias("next"))).distinct()
+    frontier, seen = best.select("a", "node"), best.select("a", "node")
+    for _ in range(MAX_STEPS):
+        fresh = frontier.join(edges, "node").select("a", F.col("next").alias("node")).distinct().join(seen, ["a", "node"], "left_anti")
+        fresh = materialize(fresh, "search-frontier")
+        if fresh.isEmpty():
+            break
+        left = asked.select(F.col("embedding_id").alias("a"), F.col("q").alias("qa"), F.col("scale").alias("sa"))
+        right = v.rows.select(F.col("embedding_id").alias("node"), F.col("q").alias("qb"), F.col("scale").alias("sb"))
+        scored = fresh.join(left, "a").join(right, "node").mapInArrow(_score, "a bigint, node bigint, sim double")
+        after = keep(best.union(scored.where("sim is not null")))
+        frontier = after.select("a", "node").join(best.select("a", "node"), ["a", "node"], "left_anti")
+        seen, best = seen.union(fresh), after
+    found = best.where(F.col("sim") >= least).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return found.select((-1 - F.col("a")).alias("query_id"), F.col("node").alias("embedding_id"), F.round("sim", 4).alias("cosine"), "rank")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mediagauge.llm.neighbours import nearest_pairs
+from mediagauge.llm.neighbours import nearest_pairs, neighbour_graph, search_graph
 from mediagauge.llm.storylines import describe_storylines, found_storylines
+from mediagauge.llm.vectors import select_vectors
 from mediagauge.tables import table
 
 
@@ -24,5 +26,15 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
     return nearest_pairs(table(spark, root, "article_embeddings"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_storylines": p1_storylines, "p7_found": p7_found}
+def p7_search(spark: SparkSession, root: str) -> DataFrame:
+    """The three graph nodes most similar to every embedding row whose id is divisible by 100, its own node included."""
+    rows = table(spark, root, "article_embeddings")
+    vectors = select_vectors(rows)
+    asked = vectors.rows.where("embedding_id % 100 = 0 and embedding_id >= 0").select("embedding_id")
+    queries = rows.where("status = 'complete' and size(embedding_vector) = embedding_dim").join(asked, "embedding_id", "left_semi")
+    queries = queries.groupBy("embedding_id").agg(F.max("embedding_vector").alias("vector")).withColumnRenamed("embedding_id", "query_id")
+    return search_graph(vectors, neighbour_graph(vectors), queries)
+
+
+QUERIES = {"p1_found": p1_found, "p1_storylines": p1_storylines, "p7_found": p7_found, "p7_search": p7_search}
 SQL: dict[str, str] = {}

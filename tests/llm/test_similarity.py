@@ -137,3 +137,28 @@ def test_bisect_limits_hold():
     for bits, slack in ((8, 1e-2), (16, 1e-4)):
         y = unpack_rows(pack_rows(x.astype(np.float32), bits), 8)
         assert np.abs(y @ y.T - x @ x.T).max() < slack * 2
+
+
+def test_graph_search(spark):
+    from mediagauge.llm.neighbours import neighbour_graph, search_graph
+    from mediagauge.llm.vectors import select_vectors
+
+    rows = made(5, groups=25)
+    v = select_vectors(table(spark, rows))
+    graph = neighbour_graph(v)
+    x, ids = unit(rows), np.array([r[0] for r in rows])
+    rng = np.random.default_rng(8)
+    asked = [(i, [float(a) for a in x[i] + rng.normal(0, 0.01, x.shape[1])], "k") for i in range(0, 200, 10)]
+    odd = [(900, [0.0] * x.shape[1], "k"), (901, [float("nan")] * x.shape[1], "k"), (902, [1.0], "k"), (903, None, "k"), (-1, asked[0][1], "k")]
+    queries = spark.createDataFrame(asked + odd, "query_id long, vector array<double>, node string")
+    got: dict[int, set] = {}
+    for r in search_graph(v, graph, queries).collect():
+        got.setdefault(r["query_id"], set()).add(r["cosine"])
+    hits = total = 0
+    for q, vector, _ in asked:
+        s = x @ np.array(vector) / np.linalg.norm(vector)
+        best = sorted({round(float(c), 3) for c in s if c >= 0.8}, reverse=True)[:3]
+        total += len(best)
+        hits += sum(any(abs(b - c) < 2e-3 for c in got.get(q, ())) for b in best)
+    assert total and hits >= 0.95 * total and not set(got) & {900, 901, 902, 903, -1}
+    assert len(ids) and search_graph(v, graph, queries.limit(0)).count() == 0
