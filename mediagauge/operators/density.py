@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediagauge.session import materialize
+
 
 def reduce_rows(x: np.ndarray, components: int) -> np.ndarray:
     """Principal components of unit rows; the sign of each makes its largest entry positive."""
@@ -144,25 +146,90 @@ def _ari(a: np.ndarray, b: np.ndarray) -> float:
     return 1.0 if top == expected else float((pairs(joint) - expected) / (top - expected))
 
 
-def stability(rows: DataFrame, window: list[str], rounds: int = 25, share: float = 0.8, least: int = 20, components: int = 10) -> DataFrame:
-    """Per window of at least ``least`` rows: median, p10 and p90 of the Rand index of resampled clusterings against the full one.
+def _nmi(a: np.ndarray, b: np.ndarray) -> float:
+    """Mutual information over the mean of both entropies; 1 if both have one label or none."""
+    (x, na), (y, nb) = (np.unique(v, return_inverse=True, return_counts=True)[1:] for v in (a, b))
+    if len(na) == len(nb) <= 1:
+        return 1.0
+    cells, joint = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+    n = len(a)
+    information = float((joint / n * np.log(n * joint / (na[cells[0]] * nb[cells[1]]))).sum())
+    if information <= 1e-15:
+        return 0.0
+    entropy = lambda counts: float(-(counts / n * np.log(counts / n)).sum())
+    return information / ((entropy(na) + entropy(nb)) / 2)
+
+
+def _coherence(x: np.ndarray) -> float:
+    """Mean cosine of rows to the mean of them, each within 0..1."""
+    centre = x.mean(axis=0)
+    lengths = np.sqrt((x * x).sum(axis=1)) * np.sqrt(centre @ centre)
+    return float(np.clip(np.divide(x @ centre, lengths, out=np.zeros(len(x)), where=lengths > 0), 0.0, 1.0).mean())
+
 
-    Every round draws ``share`` of the rows without replacement and is a task of its own.
+#: Rows of a window from which every round of resampling is a task of its own.
+APART = 20_000
+_ROUND = "n int, noise_rows int, label int, size int, coherence double, ari double, nmi double, noise double, survival double, failed int"
+
+
+def stability(rows: DataFrame, window: list[str], rounds: int = 25, share: float = 0.8, least: int = 5, components: int = 10) -> DataFrame:
+    """Per window: how far clusterings of resampled rows agree with the full one.
+
+    status (completed, all_noise, skipped_small_sample for a window under ``least`` rows), rows, noise rows
+    and clusters of the full clustering; rounds that gave a clustering and failed_rounds; median, p10 and p90 of
+    the adjusted Rand index, the normalised mutual information and the share of noise, and the mean of the
+    latter. clusters has for each cluster its size, its coherence and, over the rounds that drew at least two
+    of its members, the largest share of these that stayed together. Every round draws ``share`` of the rows,
+    at least ``least``, without replacement. A value without rounds is null.
     """
     schema = ", ".join(f"`{w}` {rows.schema[w].dataType.simpleString()}" for w in window)
-    sizes = rows.groupBy(*window).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    spread = rows.select(*window, "article_id", "vector").join(sizes, window).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    sizes = rows.groupBy(*window).agg(F.when(F.count("*") >= APART, rounds).otherwise(1).alias("parts"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    sizes = sizes.select(*[F.col(w).alias(f"s_{w}") for w in window], "parts")
+    sized = rows.select(*window, "article_id", "vector").join(sizes, [F.col(w).eqNullSafe(F.col(f"s_{w}")) for w in window])
+    spread = sized.select(*window, "article_id", "vector", "parts", part)
+    columns = [c.split()[0] for c in _ROUND.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("article_id")
-        x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-        seed = int(pdf["round"].iloc[0])
-        base, _ = density_labels(reduce_rows(x, components))
-        take = np.sort(np.random.default_rng(42 + seed).choice(len(x), min(len(x), max(5, round(len(x) * share))), replace=False))
-        again, _ = density_labels(reduce_rows(x[take], components))
-        return pdf[window].head(1).assign(ari=_ari(base[take], again), noise=float((again == -1).mean()))
-
-    each = spread.groupBy(*window, "round").applyInPandas(run, schema + ", ari double, noise double")
-    return each.groupBy(*window).agg(
-        F.count("*").alias("rounds"), *[F.round(F.percentile("ari", F.lit(q)), 4).alias(f"ari_{n}") for n, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))], F.round(F.avg("noise"), 4).alias("noise_rate")
+        n, parts, first, out = len(pdf), int(pdf["parts"].iloc[0]), int(pdf["part"].iloc[0]), []
+        if n < least:
+            out.append({"n": n})
+        else:
+            x = np.array(pdf["vector"].tolist(), dtype=np.float64)
+            base, _ = density_labels(reduce_rows(x, components))
+            names = [int(k) for k in np.unique(base) if k >= 0]
+            if first == 0:
+                out.append({"n": n, "noise_rows": int((base == -1).sum())})
+                out += [{"label": k, "size": int((base == k).sum()), "coherence": _coherence(x[base == k])} for k in names]
+            for seed in range(first, rounds, parts):
+                take = np.sort(np.random.default_rng(42 + seed).choice(n, min(n, max(least, round(n * share))), replace=False))
+                try:
+                    again, _ = density_labels(reduce_rows(x[take], components))
+                except Exception:  # a round that fails is counted
+                    out.append({"failed": 1})
+                    continue
+                then = base[take]
+                out.append({"failed": 0, "ari": _ari(then, again), "nmi": _nmi(then, again), "noise": float((again == -1).mean())})
+                for k in names:
+                    drawn = again[then == k]
+                    if len(drawn) >= 2:
+                        out.append({"label": k, "survival": np.unique(drawn, return_counts=True)[1].max() / len(drawn)})
+        made = pd.DataFrame(out, columns=columns).astype({c: "Int32" for c in ("n", "noise_rows", "label", "size", "failed")})
+        for i, w in enumerate(window):
+            made.insert(i, w, [pdf[w].iloc[0]] * len(made))
+        return made
+
+    each = materialize(spread.groupBy(*window, "part").applyInPandas(run, f"{schema}, {_ROUND}"), "stability-rounds")
+    spans = lambda c, name: [F.round(F.percentile(c, F.lit(q)), 4).alias(f"{name}_{n}") for n, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))]
+    one = each.where("label is not null").groupBy(*window, "label").agg(F.max("size").alias("size"), F.round(F.max("coherence"), 4).alias("coherence"), F.count("survival").alias("rounds"), *spans("survival", "survival"))
+    shape = "array<struct<label int, size int, coherence double, rounds bigint, survival_median double, survival_p10 double, survival_p90 double>>"
+    entry = F.struct("label", "size", "coherence", "rounds", "survival_median", "survival_p10", "survival_p90")
+    clusters = one.groupBy(*[F.col(w).alias(f"c_{w}") for w in window]).agg(F.sort_array(F.collect_list(entry)).cast(shape).alias("clusters"))
+    whole = each.where("label is null").groupBy(*window).agg(
+        F.max("n").alias("articles"), F.max("noise_rows").alias("noise_rows"), F.count("ari").alias("rounds"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed_rounds"),
+        *spans("ari", "ari"), *spans("nmi", "nmi"), F.round(F.avg("noise"), 4).alias("noise_rate"), *spans("noise", "noise"),
     )
+    both = whole.join(clusters, [F.col(w).eqNullSafe(F.col(f"c_{w}")) for w in window], "left").withColumn("clusters", F.coalesce("clusters", F.array().cast(shape)))
+    status = F.when(F.col("noise_rows").isNull(), "skipped_small_sample").when(F.size("clusters") == 0, "all_noise").otherwise("completed")
+    return both.select(*window, status.alias("status"), *[c for c in whole.columns if c not in window], "clusters")

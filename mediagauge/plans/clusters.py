@@ -133,17 +133,20 @@ def track_lifecycle(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _scoped_vectors(spark: SparkSession, root: str) -> DataFrame:
-    return _prepared(spark, root, "quarter").where("vector is not null")
+    """Articles with a vector by topic and quarter, one of every group of duplicates."""
+    rows = materialize(_prepared(spark, root, "quarter").where("vector is not null"), "scoped-vectors")
+    groups = dedupe.duplicate_groups(rows, materialize(dedupe.duplicate_edges(rows, WINDOW), "duplicate-edges"))
+    return rows.join(groups.where("article_id = representative").select("article_id"), "article_id", "left_semi")
 
 
 def density_clusters(spark: SparkSession, root: str) -> DataFrame:
-    """Density clusters of every topic and quarter."""
+    """Density clusters of every topic and quarter, duplicates removed."""
     return density.cluster_windows(_scoped_vectors(spark, root), WINDOW)
 
 
 def stability_report(spark: SparkSession, root: str) -> DataFrame:
-    """Stability of the density clusters under resampling, five rounds."""
-    return density.stability(_scoped_vectors(spark, root), WINDOW, rounds=5)
+    """Stability of the density clusters of every topic and quarter under 25 rounds of resampling, duplicates removed."""
+    return density.stability(_scoped_vectors(spark, root), WINDOW)
 
 
 _MEM = """mem as (select distinct run_id, cluster_id, article_id, embedding_id, is_noise,

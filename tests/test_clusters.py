@@ -123,3 +123,40 @@ def test_stability_of_clear_groups(spark):
     r = density.stability(df, ["w"], rounds=5).first()
     assert r["ari_median"] > 0.9 and r["rounds"] == 5
     assert density.cluster_windows(df.limit(3), ["w"]).where("label >= 0").count() == 0
+
+
+def test_stability_reports_small_windows_survival_and_information(spark):
+    rng = np.random.default_rng(2)
+    centres = np.eye(4) * 5
+    vector = lambda i, k: [float(v) for v in centres[i % k] + rng.normal(0, 0.02, 4)]
+    rows = [("w", f"a{i:02d}", vector(i, 3)) for i in range(30)] + [("small", f"b{i}", vector(i, 2)) for i in range(8)] + [("tiny", f"c{i}", vector(i, 2)) for i in range(4)]
+    df = spark.createDataFrame(rows, "w string, article_id string, vector array<double>")
+    got = {r["w"]: r for r in density.stability(df, ["w"]).collect()}
+    assert {w: r["status"] for w, r in got.items()} == {"w": "completed", "small": "completed", "tiny": "skipped_small_sample"}
+    assert {w: (r["articles"], r["rounds"], r["failed_rounds"]) for w, r in got.items()} == {"w": (30, 25, 0), "small": (8, 25, 0), "tiny": (4, 0, 0)}
+    assert [(c["size"], c["survival_median"]) for c in got["w"]["clusters"]] == [(10, 1.0)] * 3 and got["w"]["nmi_median"] > 0.9
+    assert all(c["coherence"] > 0.99 and 0 < c["rounds"] <= 25 for c in got["w"]["clusters"])
+    assert got["tiny"]["ari_median"] is None and got["tiny"]["clusters"] == []
+
+
+def test_stability_is_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    x = np.random.default_rng(4).normal(size=(24, 3))
+    df = spark.createDataFrame([("w", f"a{i:02d}", [float(v) for v in r]) for i, r in enumerate(x)], "w string, article_id string, vector array<double>")
+    once = density.stability(df, ["w"], rounds=7).collect()
+    monkeypatch.setattr(density, "APART", 10)
+    assert density.stability(df, ["w"], rounds=7).collect() == once and once[0]["rounds"] == 7
+
+
+def test_information_of_labels():
+    a = np.array([0, 0, 1, 1, -1, -1])
+    assert density._nmi(a, 7 - a) == pytest.approx(1.0) and density._nmi(a, np.zeros(6, int)) == 0.0 and density._nmi(a[:2], a[:2]) == 1.0
+    assert density._nmi(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])) == 0.0
+
+
+def test_density_clusters_work_on_one_of_each_group_of_duplicates(spark, monkeypatch):
+    from mediagauge.plans import clusters as plans
+
+    rows = prepared(spark, ROWS).withColumnRenamed("w", "canonical_topic_id").withColumn("period", F.lit("2025-01-01").cast("date"))
+    monkeypatch.setattr(plans, "_prepared", lambda *_: rows)
+    assert {r["article_id"] for r in plans.density_clusters(spark, "").collect()} == {"a", "e", "f"}
+    assert {(r["canonical_topic_id"], r["articles"], r["status"]) for r in plans.stability_report(spark, "").collect()} == {("k", 2, "skipped_small_sample"), ("other", 1, "skipped_small_sample")}
