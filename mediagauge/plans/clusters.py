@@ -17,14 +17,23 @@ from mediagauge.tables import table
 WINDOW = ["canonical_topic_id", "period"]
 
 
-def _prepared(spark: SparkSession, root: str, unit: str = "year") -> DataFrame:
+def _articles(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     articles = article_view(table(spark, root, "articles"), ("title", "summary", "body", "canonical_url"))
     usable = K.usable(table(spark, root, "article_embeddings"))
-    vectors = latest_embedding(usable, True).select("article_id", F.col("embedding_vector").alias("vector"))
+    return articles, latest_embedding(usable, True).select("article_id", F.col("embedding_vector").alias("vector"))
+
+
+def _prepared(spark: SparkSession, root: str, unit: str = "year") -> DataFrame:
+    articles, vectors = _articles(spark, root)
     scoped = articles.where("canonical_topic_id is not null and fetched_at is not null").withColumn("period", F.trunc(F.to_date("fetched_at"), unit))
     return materialize(dedupe.prepared(scoped, vectors, WINDOW), "articles")
 
 
+def _prepared_all(spark: SparkSession, root: str) -> DataFrame:
+    articles, vectors = _articles(spark, root)
+    return materialize(dedupe.prepared(articles.withColumn("scope", F.lit(0)), vectors, ["scope"]), "articles")
+
+
 def dup_edges(spark: SparkSession, root: str) -> DataFrame:
     """Duplicate links of articles of one topic and year, with the rule that applies."""
     return dedupe.duplicate_edges(_prepared(spark, root), WINDOW)
@@ -40,6 +49,21 @@ def dedupe_stats(spark: SparkSession, root: str) -> DataFrame:
     return dedupe.duplicate_summary(_prepared(spark, root), WINDOW)[1]
 
 
+def dup_edges_all(spark: SparkSession, root: str) -> DataFrame:
+    """Duplicate links of all articles, whatever their topic and time, with the rule that applies."""
+    return dedupe.duplicate_edges(_prepared_all(spark, root), ["scope"])
+
+
+def dup_representatives_all(spark: SparkSession, root: str) -> DataFrame:
+    """Groups of duplicates among all articles with representative, size and reasons."""
+    return dedupe.duplicate_summary(_prepared_all(spark, root), ["scope"])[0]
+
+
+def dedupe_stats_all(spark: SparkSession, root: str) -> DataFrame:
+    """Totals of duplicate removal from all articles."""
+    return dedupe.duplicate_summary(_prepared_all(spark, root), ["scope"])[1]
+
+
 def _members(spark: SparkSession, root: str) -> DataFrame:
     return K.members(table(spark, root, "cluster_memberships"))
 
@@ -220,10 +244,19 @@ SQL = {
     "track_match_candidates": f"""with {_MEM}, {_VEC}, {_CEN} select x.cluster_id, y.cluster_id as track_id, round(1 - list_dot_product(x.centroid, y.centroid), 4) as distance
         from cen x join cen y on x.run_id like '%-1' and y.run_id like '%-0' where round(1 - list_dot_product(x.centroid, y.centroid), 4) <= 0.25""",
 }
+_SCOPED = {
+    "canonical_topic_id as topic, date_trunc('year', fetched_at at time zone 'UTC') as period": "0 as topic, 0 as period",
+    " where canonical_topic_id is not null and fetched_at is not null": "",
+    "summary_len, fetched_at, article_id)": "summary_len, coalesce(epoch_us(fetched_at), -9223372036854775807), article_id)",
+}
+for _name in ("dup_edges", "dup_representatives", "dedupe_stats"):
+    SQL[f"{_name}_all"] = SQL[_name]
+    for _old, _new in _SCOPED.items():
+        SQL[f"{_name}_all"] = SQL[f"{_name}_all"].replace(_old, _new)
 QUERIES = {
     f.__name__: f
     for f in (
-        dup_edges, dup_representatives, dedupe_stats, cluster_sizes, cluster_centroid, cluster_coherence, cluster_exemplars, cluster_fingerprints, noise_rates,
+        dup_edges, dup_representatives, dedupe_stats, dup_edges_all, dup_representatives_all, dedupe_stats_all, cluster_sizes, cluster_centroid, cluster_coherence, cluster_exemplars, cluster_fingerprints, noise_rates,
         cluster_agreement, cluster_survival, survival_summary, track_match_candidates, track_assignment, track_lifecycle, density_clusters, stability_report,
     )
 }

@@ -160,3 +160,23 @@ def test_density_clusters_work_on_one_of_each_group_of_duplicates(spark, monkeyp
     monkeypatch.setattr(plans, "_prepared", lambda *_: rows)
     assert {r["article_id"] for r in plans.density_clusters(spark, "").collect()} == {"a", "e", "f"}
     assert {(r["canonical_topic_id"], r["articles"], r["status"]) for r in plans.stability_report(spark, "").collect()} == {("k", 2, "skipped_small_sample"), ("other", 1, "skipped_small_sample")}
+
+
+def test_duplicates_of_all_articles_cross_topics_years_and_missing_topics(spark, monkeypatch):
+    from mediagauge.plans import clusters as plans
+
+    schema = "article_id string, title string, summary string, body string, canonical_url string, f string, canonical_topic_id string, vector array<double>"
+    text = ("many homes by the river", "many homes")
+    rows = [
+        ("a", "first title of all", "s", "b", "http://x/1", "2024-12-31", "t", None),
+        ("b", "second title of all", "s", "b", "http://x/1", "2025-01-01", "t", None),
+        ("c", "river floods many homes", *text, None, "2025-01-01", None, [0.5, 0.5, 0.01]),
+        ("d", "river floods several homes", *text, None, None, "u", [0.5, 0.5, 0.0]),
+        ("e", "river floods many towns", *text, None, "2025-01-01", "u", [0.5, 0.5]),
+    ]
+    df = spark.createDataFrame(rows, schema).withColumn("fetched_at", F.col("f").cast("timestamp"))
+    monkeypatch.setattr(plans, "_articles", lambda *_: (df.drop("vector"), df.select("article_id", "vector").where("vector is not null")))
+    assert {tuple(r) for r in plans.dup_edges_all(spark, "").collect()} == {("a", "b", "canonical_url"), ("c", "d", "semantic")}
+    assert tuple(plans.dedupe_stats_all(spark, "").first()) == (5, 3, 2, 2)
+    assert {(r["root"], r["representative"], r["size"]) for r in plans.dup_representatives_all(spark, "").collect()} == {("a", "b", 2), ("c", "c", 2)}
+    assert plans.dup_edges(spark, "").count() == 0
