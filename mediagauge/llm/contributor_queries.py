@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediagauge.llm.contributors import cap_batch, cap_signals, latest_signals
+from mediagauge.llm.contributors import cap_batch, cap_share, cap_signals, latest_signals, new_state, time_slices
 from mediagauge.tables import table
 
 LIMIT = 8
+SHARE = 0.1
 
 
 def _tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -29,14 +30,21 @@ def p3_contributors(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_incremental(spark: SparkSession, root: str) -> DataFrame:
-    """The kept signals after three batches, split by signal_id, went through the state one by one."""
-    rows = latest_signals(*_tables(spark, root))
+    """The kept signals after the versions of all signals came in four batches by time, later ones replacing earlier ones."""
+    signals, articles, feeds = _tables(spark, root)
     state = None
-    for part in range(3):
-        state = cap_batch(state, rows.where(F.pmod("id", F.lit(3)) == part), ["run_id", "std_outlet"], LIMIT)
+    for part in time_slices(signals, 4):
+        rows = latest_signals(part, articles, feeds)
+        state = cap_batch(state or new_state(rows, ["run_id", "std_outlet"], LIMIT), rows)
     return state.kept.select(F.col("id").alias("signal_id"), "run_id", "std_outlet")
 
 
+def p3_share(spark: SparkSession, root: str) -> DataFrame:
+    """Signals that may not stay if no outlet may hold more than a tenth of a run."""
+    rows = cap_share(latest_signals(*_tables(spark, root)), ["run_id"], "std_outlet", SHARE)
+    return rows.where("not stays").select(F.col("id").alias("signal_id"))
+
+
 _LATEST = """
 keys as (
   select lower(trim(nfc_normalize(s))) as k, min(outlet) as std from (
@@ -59,10 +67,14 @@ placed as (
   from latest)
 """
 SQL = {
+    "p3_share": f"""with {_LATEST}, sizes as (select run_id, greatest(floor(count(*) * {SHARE} + 1e-9), 1) as most from latest group by 1)
+        select p.signal_id from (select *, row_number() over (partition by run_id, std_outlet
+            order by (score is null or isnan(score)), case when isnan(score) then null else score end desc nulls last, signal_id) as place from latest) p
+        join sizes using (run_id) where std_outlet is not null and place > most""",
     "p3_found": f"with {_LATEST} select signal_id from placed where rn > {LIMIT}",
     "p3_incremental": f"with {_LATEST} select signal_id, run_id, std_outlet from placed where rn <= {LIMIT}",
     "p3_contributors": f"""with {_LATEST}, c as (
         select std_outlet, count(*) filter (rn <= {LIMIT}) as kept, count(*) filter (rn > {LIMIT}) as displaced from placed group by 1)
         select std_outlet, kept, displaced, round(displaced / (kept + displaced), 6) as displaced_share from c""",
 }
-QUERIES = {"p3_found": p3_found, "p3_contributors": p3_contributors, "p3_incremental": p3_incremental}
+QUERIES = {"p3_found": p3_found, "p3_contributors": p3_contributors, "p3_incremental": p3_incremental, "p3_share": p3_share}
