@@ -22,6 +22,8 @@ Z_LOW = -1.959963985
 #: Distance added to each annotator's errors, so that faultless ones keep a finite weight.
 PRIOR_ERROR = 0.5
 MAX_ROUNDS = 10
+#: Votes of an item from which a majority of more than half settles it.
+ANCHOR = 3
 #: Rounds stop when fewer than this share of the consensus labels changes.
 SETTLED = 0.0005
 ITEM = ["article_id", "field_name"]
@@ -75,11 +77,14 @@ def valid_votes(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     return voted.join(maybe_broadcast(accepted), ["field_name", "alias"]).select(*ITEM, "annotator", "label")
 
 
-def discover(votes: DataFrame, max_rounds: int = MAX_ROUNDS) -> Consensus:
+def discover(votes: DataFrame, max_rounds: int = MAX_ROUNDS, anchor: int | None = ANCHOR) -> Consensus:
     """Consensus of votes (article_id, field_name, annotator, label; one per annotator and item).
 
-    The first round weighs all annotators alike. ``labels`` has score (summed weight), votes and
-    is_consensus of every label that an item got; of equal scores the smaller label wins.
+    The first round weighs all annotators alike. Items on which more than half of at least
+    ``anchor`` votes agree are anchors: their label is that one in every round, so weights are
+    learned from what is known and decide the open items; None anchors nothing. ``labels`` has
+    score (summed weight), label_votes, item_votes, is_consensus and anchored of every label that
+    an item got; of equal scores the smaller label wins.
     ``annotators`` has votes, judged (those on items that others labelled too), errors, weight
     (relative to the largest) and reliability, the share of judged votes that the others confirm. No votes give empty results.
     """
@@ -91,8 +96,16 @@ def discover(votes: DataFrame, max_rounds: int = MAX_ROUNDS) -> Consensus:
         weighed = votes.join(maybe_broadcast(weights.select("annotator", "weight")), "annotator")
         scores = weighed.groupBy(*ITEM, "label").agg(F.round(F.sum("weight"), 9).alias("score"), F.count("*").alias("label_votes"))
         scores = materialize(scores, "label-scores")
-        spread = scores.groupBy(*ITEM).agg(F.min_by("label", F.struct(-F.col("score"), "label")).alias("truth"), F.collect_list(F.struct("label", "score")).alias("spread"))
-        truth = materialize(spread, "truth")
+        spread = scores.groupBy(*ITEM).agg(
+            F.min_by("label", F.struct(-F.col("score"), "label")).alias("heaviest"),
+            F.max_by("label", "label_votes").alias("named"),
+            F.max("label_votes").alias("most"),
+            F.sum("label_votes").alias("item_votes"),
+            F.collect_list(F.struct("label", "score")).alias("spread"),
+        )
+        anchored = F.lit(False) if anchor is None else (F.col("item_votes") >= anchor) & (F.col("most") * 2 > F.col("item_votes"))
+        spread = spread.withColumn("anchored", anchored).withColumn("truth", F.when(F.col("anchored"), F.col("named")).otherwise(F.col("heaviest")))
+        truth = materialize(spread.drop("heaviest", "named", "most"), "truth")
         judged = weighed.join(truth, ITEM).select("annotator", distance_to_others().alias("d"))
         errors = judged.groupBy("annotator").agg(F.count("*").alias("votes"), F.count("d").cast("double").alias("judged"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("errors"))
         raw = errors.withColumn("weight", chi2_low(F.greatest(F.col("judged"), F.lit(1.0))) / (F.col("errors") + PRIOR_ERROR))
@@ -114,27 +127,26 @@ def discover(votes: DataFrame, max_rounds: int = MAX_ROUNDS) -> Consensus:
 
 
 def consensus_items(found: Consensus) -> DataFrame:
-    """One row per item: consensus_label, votes, agreement (share of votes for it), confidence (share of weight)."""
-    per_item = found.labels.groupBy(*ITEM).agg(
-        F.max(F.when(F.col("is_consensus"), F.col("label"))).alias("consensus_label"),
-        F.sum("label_votes").alias("votes"),
-        F.max(F.when(F.col("is_consensus"), F.col("label_votes"))).alias("for_it"),
-        F.max(F.when(F.col("is_consensus"), F.col("score"))).alias("score"),
-        F.sum("score").alias("total"),
-    )
-    return per_item.select(
-        *ITEM, "consensus_label", "votes", F.round(F.col("for_it") / F.col("votes"), 6).alias("agreement"), F.round(F.col("score") / F.col("total"), 4).alias("confidence")
+    """One row per item: consensus_label, votes, agreement (share of votes for it), confidence (share of weight), anchored."""
+    totals = found.labels.groupBy(*ITEM).agg(F.sum("score").alias("total"))
+    chosen = found.labels.where("is_consensus").join(totals, ITEM)
+    return chosen.select(
+        *ITEM,
+        F.col("label").alias("consensus_label"),
+        F.col("item_votes").alias("votes"),
+        F.round(F.col("label_votes") / F.col("item_votes"), 6).alias("agreement"),
+        F.round(F.col("score") / F.col("total"), 4).alias("confidence"),
+        "anchored",
     )
 
 
-def strict_consensus(labels: DataFrame, aliases: DataFrame, articles: DataFrame, least_votes: int = 3) -> DataFrame:
+def strict_consensus(labels: DataFrame, aliases: DataFrame, articles: DataFrame, least_votes: int = ANCHOR) -> DataFrame:
     """``article_id, field_name, consensus_label`` of items of known articles with a label of over half the votes.
 
-    The labels come from the truth discovery; the exact check takes, of an item's labels, the
-    one that more than half of at least ``least_votes`` votes name.
+    A filter of what the truth discovery finds: its consensus labels that more than half of at
+    least ``least_votes`` votes name.
     """
     known = articles.select("article_id").where("article_id is not null").distinct()
-    found = discover(valid_votes(labels, aliases).join(known, "article_id", "left_semi"))
-    totals = found.labels.groupBy(*ITEM).agg(F.sum("label_votes").alias("n"), F.max_by("label", "label_votes").alias("label"), F.max("label_votes").alias("most"))
-    sure = totals.where((F.col("n") >= least_votes) & (F.col("most") * 2 > F.col("n")))
+    found = discover(valid_votes(labels, aliases).join(known, "article_id", "left_semi"), anchor=least_votes)
+    sure = found.labels.where(F.col("is_consensus") & (F.col("item_votes") >= least_votes) & (F.col("label_votes") * 2 > F.col("item_votes")))
     return sure.select(*ITEM, F.col("label").alias("consensus_label"))

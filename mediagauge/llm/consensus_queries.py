@@ -21,6 +21,12 @@ def p4_consensus(spark: SparkSession, root: str) -> DataFrame:
     return consensus_items(found).join(baseline, ["article_id", "field_name"], "left").withColumn("equals_baseline", F.col("consensus_label") == F.col("baseline_label"))
 
 
+def p4_anchors(spark: SparkSession, root: str) -> DataFrame:
+    """The items whose label a majority settles, unknown articles included."""
+    found = discover(valid_votes(table(spark, root, "model_labels"), table(spark, root, "label_aliases")))
+    return consensus_items(found).where("anchored").select("article_id", "field_name", "consensus_label", "votes", "agreement")
+
+
 def p4_annotators(spark: SparkSession, root: str) -> DataFrame:
     """Votes, weight and reliability of each annotator."""
     return discover(valid_votes(table(spark, root, "model_labels"), table(spark, root, "label_aliases"))).annotators
@@ -39,4 +45,7 @@ totals as (select article_id, field_name, sum(n) as total from counts group by a
 select article_id, field_name, label as consensus_label from counts join totals using (article_id, field_name) where total >= 3 and n * 2 > total
 """
 }
-QUERIES = {"p4_found": p4_found, "p4_consensus": p4_consensus, "p4_annotators": p4_annotators}
+# Of an anchored item the consensus is its majority whatever the weights are.
+SQL["p4_anchors"] = SQL["p4_found"].replace("from model_labels where article_id in (select article_id from articles) and", "from model_labels where article_id is not null and")
+SQL["p4_anchors"] = SQL["p4_anchors"].replace("consensus_label from counts", "consensus_label, cast(total as bigint) as votes, round(n / total, 6) as agreement from counts")
+QUERIES = {"p4_anchors": p4_anchors, "p4_found": p4_found, "p4_consensus": p4_consensus, "p4_annotators": p4_annotators}

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mediagauge.llm import consensus
 from mediagauge.llm.consensus import chi2_low, consensus_items, discover, strict_consensus, valid_votes
 
 VOTES = "vote_id long, batch string, article_id string, field_name string, annotator string, label string, t string"
@@ -57,7 +58,7 @@ def test_reliable_annotators_win(spark):
             rows.append((f"a{i}", "f", who, truth if rng.random() < p else rng.choice([x for x in "012" if x != truth])))
         rows.append((f"a{i}", "truth", "-", truth))
     df = spark.createDataFrame(rows, "article_id string, field_name string, annotator string, label string")
-    found = discover(df.where("field_name = 'f'"))
+    found = discover(df.where("field_name = 'f'"), anchor=None)
     truth = df.where("field_name = 'truth'").select("article_id", F.col("label").alias("truth"))
     items = consensus_items(found).join(truth, "article_id")
     weighted = items.agg(F.avg((F.col("consensus_label") == F.col("truth")).cast("double"))).first()[0]
@@ -73,3 +74,21 @@ def test_rare_annotators_gain_little(spark):
     low = spark.createDataFrame([(1.0,), (10.0,), (100.0,)], "n double").select((chi2_low(F.col("n")) / F.col("n")).alias("r"))
     r = [x["r"] for x in low.collect()]
     assert r[0] < r[1] < r[2] < 1
+
+
+def test_found_labels_are_those_of_the_discovery(spark, monkeypatch):
+    """Without anchors the weights overrule some majorities, and the found rows change."""
+    aliases = spark.createDataFrame([("f", x, x) for x in "012"], "field_name string, alias string, canonical_label string")
+    rng = random.Random(1)
+    rows, n = [], 0
+    for i in range(200):
+        truth = rng.choice("012")
+        for who, p in (("good", 1.0), ("fair", 0.97), ("bad1", 0.35), ("bad2", 0.35), ("bad3", 0.35)):
+            n += 1
+            rows.append((n, "b", f"a{i}", "f", who, truth if rng.random() < p else rng.choice([x for x in "012" if x != truth]), "2025-01-01"))
+    articles = spark.createDataFrame([(f"a{i}",) for i in range(200)], "article_id string")
+    df = votes(spark, rows)
+    whole = strict_consensus(df, aliases, articles).count()
+    plain = consensus.discover
+    monkeypatch.setattr(consensus, "discover", lambda v, **kw: plain(v, anchor=None))
+    assert strict_consensus(df, aliases, articles).count() < whole
