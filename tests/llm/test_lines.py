@@ -7,7 +7,8 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
-from mediagauge.llm.lines import TemplateTree, cleaned_bodies, line_keys, line_templates, repeated_lines
+from mediagauge.llm import lines
+from mediagauge.llm.lines import cleaned_bodies, line_keys, line_numbers, line_templates, repeated_lines, templated_lines
 
 
 def feeds(spark):
@@ -44,17 +45,51 @@ def test_against_brute_force(spark):
     got = {(r[0], r[1]) for r in repeated_lines(df, feeds(spark)).collect()}
     assert got == brute(rows, names)
     cleaned = {r["article_id"]: r for r in cleaned_bodies(df, feeds(spark)).collect()}
+    gone_lines = {(r[0], r[1]) for r in templated_lines(df, feeds(spark))[1].collect()}
     texts = {a: b for a, _, b in rows if a}
+    assert got <= gone_lines
     for a, b in texts.items():
-        gone = {i for x, i in got if x == a}
+        gone = {i for x, i in gone_lines if x == a}
         expected = None if b is None else "\n".join(x for i, x in enumerate(b.split("\n"), 1) if i not in gone)
         assert cleaned[a]["body"] == expected and cleaned[a]["removed"] == len(gone)
     assert line_templates(df, feeds(spark)).where("documents >= 4").count() > 0
     assert repeated_lines(df.limit(0), feeds(spark)).count() == 0
 
 
-def test_tree_joins_what_differs_in_digits_only():
-    tree = TemplateTree()
+def test_numbers_join_what_differs_in_digits_only():
     keys = line_keys("Čteno 46×\nčteno   7×\n\nČteno x×\n" + "w " * 20_000)
-    numbers = [tree.add(k) for k in keys]
-    assert numbers[0] == numbers[1] != numbers[3] and numbers[2] == 0 and tree.templates == 3
+    numbers = [line_numbers(k) for k in keys]
+    assert numbers[0] == numbers[1] != numbers[3] and numbers[2] == (0, 0, 0)
+    assert numbers[0][1] == numbers[3][1] and numbers[0][0] != numbers[3][0]
+
+
+def test_names_fall_into_slots(spark):
+    """Bylines that differ in a name become one template, whichever task saw them."""
+    rng = random.Random(7)
+    names = ["ann", "bob", "cyril", "dana", "eve", "filip", "gita", "hugo"]
+    rows = []
+    for i in range(160):
+        last = f"Written by {rng.choice(names)}{rng.choice('xyzuvw')} {rng.choice(names)}{i} today" if i % 2 else f"{rng.choice(names)}{i}th {rng.choice(names)} for the Agency"
+        rows.append((f"a{i}", "o1", "\n".join([" ".join(rng.choice(names) + str(rng.random()) for _ in range(rng.randrange(4, 9))), last])))
+    df = spark.createDataFrame(rows, "article_id string, outlet string, body string").repartition(7)
+    found = {r["template"]: r["documents"] for r in line_templates(df, feeds(spark)).collect()}
+    assert any(t.startswith("written by") and t.endswith("today") and n >= 70 for t, n in found.items())
+    assert any(t.endswith("for the agency") and n >= 70 for t, n in found.items())
+    cleaned = {r["article_id"]: r for r in cleaned_bodies(df, feeds(spark)).collect()}
+    assert sum(r["removed"] == 1 for r in cleaned.values()) >= 150
+    assert repeated_lines(df, feeds(spark)).count() == 0
+
+
+def test_deliveries_that_differ(spark):
+    rows = [(f"a{i}", "o1", f"unique {i} {'abcdefgh'[i]}\nShare this") for i in range(6)] + [("a0", "o1", "Share this\nother words\nthird"), ("a0", "nobody", "zz\nShare this")]
+    df = spark.createDataFrame(rows, "article_id string, outlet string, body string")
+    got = {r["article_id"]: r["body"] for r in cleaned_bodies(df, feeds(spark)).collect()}
+    assert all("Share" not in b for b in got.values()) and got["a0"] in ("unique 0 a", "other words\nthird")
+
+
+def test_found_lines_need_the_tree(spark, monkeypatch):
+    df = spark.createDataFrame([(f"a{i}", "o1", "Share this") for i in range(6)], "article_id string, outlet string, body string")
+    assert repeated_lines(df, feeds(spark)).count() == 6
+    plain = lines.covering_nodes
+    monkeypatch.setattr(lines, "covering_nodes", lambda *a, **k: plain(*a, **k).limit(0))
+    assert repeated_lines(df, feeds(spark)).count() == 0
