@@ -66,10 +66,10 @@ def test_numbers_join_what_differs_in_digits_only():
 def test_names_fall_into_slots(spark):
     """Bylines that differ in a name become one template, whichever task saw them."""
     rng = random.Random(7)
-    names = ["ann", "bob", "cyril", "dana", "eve", "filip", "gita", "hugo"]
+    names = [a + b for a in ("ann", "bob", "cyr", "dan", "eve", "fil", "git", "hug") for b in ("a", "el", "in", "or", "us")]
     rows = []
     for i in range(160):
-        last = f"Written by {rng.choice(names)}{rng.choice('xyzuvw')} {rng.choice(names)}{i} today" if i % 2 else f"{rng.choice(names)}{i}th {rng.choice(names)} for the Agency"
+        last = f"Written by {rng.choice(names)} {rng.choice(names)}{i} today" if i % 2 else f"{rng.choice(names)}{i}th {rng.choice(names)} for the Agency"
         rows.append((f"a{i}", "o1", "\n".join([" ".join(rng.choice(names) + str(rng.random()) for _ in range(rng.randrange(4, 9))), last])))
     df = spark.createDataFrame(rows, "article_id string, outlet string, body string").repartition(7)
     found = {r["template"]: r["documents"] for r in line_templates(df, feeds(spark)).collect()}
