@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from mediagauge.llm.truncation import BROKEN, ENCODINGS, FINISHED, OPEN, ending, inspected_values, length_limits, lengths, truncated_values, truncation_rates
+from mediagauge.llm import truncation
+from mediagauge.llm.truncation import BROKEN, DOUBTFUL, ENCODINGS, FINISHED, OPEN, ending, inspected_values, length_limits, lengths, truncated_values, truncation_rates
 
 
 @pytest.mark.parametrize(
@@ -26,6 +27,9 @@ from mediagauge.llm.truncation import BROKEN, ENCODINGS, FINISHED, OPEN, ending,
         ("Whole. Nex�", BROKEN),
         ("„So nicht“, sagt", OPEN),
         ("„So nicht“", OPEN),
+        ("Seen by Dr.", DOUBTFUL),
+        ("Es geschah am 3.", DOUBTFUL),
+        ("It was written in 2024.", FINISHED),
     ],
 )
 def test_endings(value, state):
@@ -67,3 +71,35 @@ def test_table(spark):
     rates = {(r["std_outlet"], r["field_name"]): r["n_cut"] for r in truncation_rates(df, feeds).collect()}
     assert sum(rates.values()) == len(got)
     assert truncated_values(df.limit(0), feeds).count() == 0
+
+
+def test_limits_decide_what_endings_leave_open(spark, monkeypatch):
+    """Values cut at a limit after an ordinal number, and pieces of a closing line of any length, are found by their length."""
+    feeds = spark.createDataFrame([("o", "O", "o.example")], "outlet string, outlet_name string, host string")
+    rng = random.Random(5)
+    words = ["mayor", "bridge", "school", "price", "winter", "council", "harbour"]
+    line = "read the whole story with all its pictures and every comment of our readers on the pages of the paper and in our weekly magazine " * 2
+    rows, cut = [], set()
+    for i in range(300):
+        text = " ".join(" ".join(rng.choice(words) for _ in range(rng.randrange(4, 9))).capitalize() + "." for _ in range(rng.randrange(3, 12)))
+        body = text + "\n" + line.strip()
+        if i % 10 == 0:
+            body = (text * 3)[:96].rsplit(" ", 1)[0].ljust(96, "x") + " 3."
+            cut.add(f"a{i}")
+        elif i % 10 in (1, 2):
+            body = (text * 3)[:90].rstrip(". ") + f"z{i:03d}".translate(str.maketrans("0123456789", "abcdefghij")).ljust(9, "x")
+            body = body.ljust(99, "y")
+            cut.add(f"a{i}")
+        elif i % 10 == 3:
+            body = (text + "\n" + line)[: len(text) + 60].rstrip()
+            body = "x" * max(0, 99 - len(body)) + body if len(body) <= 99 else body[len(body) - 99 :]
+            cut.add(f"a{i}")
+        rows.append((f"a{i}", "o", None, None, body))
+    rows += [("whole", "o", None, None, "They met on the 3.")]
+    df = spark.createDataFrame(rows, "article_id string, outlet string, title string, summary string, body string")
+    got = {r[0] for r in truncated_values(df, feeds).collect()}
+    assert len(got ^ cut) <= 2 and "whole" not in got
+    plain = truncation.length_limits
+    monkeypatch.setattr(truncation, "length_limits", lambda v: plain(v).limit(0))
+    blind = {r[0] for r in truncated_values(df, feeds).collect()}
+    assert len(got & cut) - len(blind & cut) >= 50
