@@ -1,12 +1,12 @@
 """Storylines: bisecting k-means over all selected embeddings, leaves joined where texts are close.
 
-Every cell of the tree continues to split its own rows until each leaf is compact. Leaves are
-then compared with the rows near them: a row can only be within the linking angle of a member
-of a leaf if its angle to the leaf's centre is at most that angle plus the leaf's radius, so
-all other rows of the cell are skipped without loss. An exact check follows for leaves of
-different cells: all rows meet again in the cells of random pivots, several of which each row
-visits. Rows that are close enough link their leaves; the components of these links are the
-storylines.
+The trees of ``vectors.route`` are split across the cluster down to cells; the cells of the first
+one continue to split their own rows until each leaf is compact. A leaf is then compared with the
+rows near it: a row can only be within the linking angle of a member of a leaf if its angle to
+the leaf's centre is at most that angle plus the leaf's radius, so all other rows that visit the
+cell are skipped without loss. Each row visits several cells of each tree, so leaves on both
+sides of a border meet. Rows that are close enough link their leaves; the components of these
+links are the storylines.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediagauge.llm.vectors import (
@@ -42,9 +42,9 @@ COMPACT = 0.85
 LEAF, EDGE, UNSURE = 0, 1, 2
 #: Leaves that a cell can number.
 LEAVES = 1 << 20
-#: One tree for the leaves, four to meet the rows of other cells.
-PLAN = Plan(trees=(("bisect", 1), ("pivot", 3), ("pivot", 3), ("pivot", 3), ("pivot", 3)), bits=8)
-_FOUND = "kind int, a bigint, b bigint"
+#: Three trees, the first of which gives the leaves; a row visits three cells of each.
+PLAN = Plan(trees=(3, 3, 3), bits=8)
+_FOUND = "kind int, a bigint, b bigint, cosine float"
 
 
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
@@ -62,35 +62,43 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def leaf_links(ids: np.ndarray, x: np.ndarray, link: float, compact: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaf of each row of a cell, pairs of close rows, and pairs too near the limit to tell."""
-    leaf = bisect(x, compact, len(x))
+def leaf_links(x: np.ndarray, home: np.ndarray, link: float, compact: float, slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf of each row at home in a cell, its cosine to the leaf's centre, pairs of close rows, and pairs too near the limit to tell."""
+    mine = np.flatnonzero(home)
+    y = x[mine]
+    leaf = bisect(y, compact, len(y))
     count = int(leaf.max()) + 1
     order = np.argsort(leaf, kind="stable")
     starts = np.searchsorted(leaf[order], np.arange(count + 1))
-    sums = np.add.reduceat(x[order], starts[:-1], axis=0)
+    sums = np.add.reduceat(y[order], starts[:-1], axis=0)
     norms = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
     centres = np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 1e-6)
-    to_own = np.clip(np.einsum("ij,ij->i", x[order], centres[leaf[order]]), -1, 1)
-    radius = np.arccos(np.minimum.reduceat(to_own, starts[:-1]))
-    reach = np.where(norms[:, 0] > 1e-6, np.cos(np.minimum(np.pi, np.arccos(link - slack) + radius + 1e-2)), -2.0)
-    near = x @ centres.T >= reach[None, :].astype(np.float32)
+    to_own = np.clip(np.einsum("ij,ij->i", y, centres[leaf]), -1, 1)
+    radius = np.arccos(np.minimum.reduceat(to_own[order], starts[:-1]))
+    reach = np.where(norms[:, 0] > 1e-6, np.cos(np.minimum(np.pi, np.arccos(link - slack) + radius + 1e-2)), -2.0).astype(np.float32)
     sure, unsure = [], []
-    for k in range(count):
-        members = order[starts[k] : starts[k + 1]]
-        others = np.flatnonzero(near[:, k])
-        _split(members, others, x, link, slack, sure, unsure)
-    return leaf, np.concatenate(sure), np.concatenate(unsure)
+    for at in range(0, count, 512):  # leaves by blocks, so that no matrix of all leaves and rows is held
+        near = x @ centres[at : at + 512].T >= reach[None, at : at + 512]
+        for k in range(at, min(at + 512, count)):
+            _split(mine[order[starts[k] : starts[k + 1]]], np.flatnonzero(near[:, k - at]), x, link, slack, sure, unsure)
+    return leaf, to_own, np.concatenate(sure), np.concatenate(unsure)
 
 
 def _split(rows: np.ndarray, others: np.ndarray, x: np.ndarray, link: float, slack: float, sure: list, unsure: list) -> None:
-    s = x[rows] @ x[others].T
-    i, j = np.nonzero(s >= link - slack)
-    a, b, c = rows[i], others[j], s[i, j]
-    keep = a != b
-    pairs, clear = np.stack([a[keep], b[keep]], axis=1), c[keep] >= link + slack
-    sure.append(pairs[clear])
-    unsure.append(pairs[~clear])
+    """Append the close pairs of ``rows`` and ``others``; of many sure ones those that span the components of their rows."""
+    for at in range(0, len(rows), 512):
+        part = rows[at : at + 512]
+        s = x[part] @ x[others].T
+        i, j = np.nonzero(s >= link - slack)
+        a, b, c = part[i], others[j], s[i, j]
+        keep = a != b
+        pairs, clear = np.stack([a[keep], b[keep]], axis=1), c[keep] >= link + slack
+        certain = pairs[clear]
+        if len(certain) > 4 * len(x):
+            root = _roots(len(x), certain)
+            certain = np.stack([np.arange(len(x)), root], axis=1)[root != np.arange(len(x))]
+        sure.append(certain)
+        unsure.append(pairs[~clear])
 
 
 def near_links(x: np.ndarray, home: np.ndarray, link: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
@@ -98,23 +106,25 @@ def near_links(x: np.ndarray, home: np.ndarray, link: float, slack: float) -> tu
     rows, everyone = np.flatnonzero(home), np.arange(len(x))
     none = np.zeros((0, 2), np.int64)
     sure, unsure = [none], [none]
-    for at in range(0, len(rows), 512):
-        _split(rows[at : at + 512], everyone, x, link, slack, sure, unsure)
+    _split(rows, everyone, x, link, slack, sure, unsure)
     return np.concatenate(sure), np.concatenate(unsure)
 
 
-def _cell(dim: int, link: float, compact: float, trees: tuple, bits: int):
+def _cell(dim: int, link: float, compact: float, bits: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("embedding_id").to_numpy()
         x = unpack_rows(table.column("q").to_pylist(), dim)
+        home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
         cell = table.column("cell")[0].as_py()
-        t = tree_of(cell)
-        if trees[t][0] == "bisect":
-            leaf, sure, unsure = leaf_links(ids, x, link, compact, slack(bits))
-            leaf_of = ids
+        none = np.zeros(0, np.int64)
+        leaf_of, leaf, near = none, none, np.zeros(0, np.float32)
+        if not home.any():
+            sure = unsure = none.reshape(0, 2)
+        elif tree_of(cell) == 0:
+            leaf, near, sure, unsure = leaf_links(x, home, link, compact, slack(bits))
+            leaf_of = ids[home]
         else:
-            sure, unsure = near_links(x, table.column("home").to_numpy(), link, slack(bits))
-            leaf_of, leaf = ids[:0], ids[:0]
+            sure, unsure = near_links(x, home, link, slack(bits))
         root = _roots(len(ids), sure)
         # A doubtful pair whose rows are linked anyway need not be checked.
         unsure = unsure[root[unsure[:, 0]] != root[unsure[:, 1]]]
@@ -124,7 +134,8 @@ def _cell(dim: int, link: float, compact: float, trees: tuple, bits: int):
         kinds = np.repeat([LEAF, EDGE, UNSURE], [len(leaf_of), len(moved), len(unsure)]).astype(np.int32)
         a = np.concatenate([leaf_of, ids[moved], ids[unsure[:, 0]]])
         b = np.concatenate([leaf + cell * LEAVES, least[root[moved]], ids[unsure[:, 1]]])
-        return pa.table({"kind": kinds, "a": a.astype(np.int64), "b": b.astype(np.int64)})
+        cosine = np.concatenate([near, np.zeros(len(kinds) - len(near))]).astype(np.float32)
+        return pa.table({"kind": kinds, "a": a.astype(np.int64), "b": b.astype(np.int64), "cosine": cosine})
 
     return run
 
@@ -136,14 +147,14 @@ def _found(v: Vectors, link: float, compact: float, plan: Plan) -> tuple[DataFra
     found = None
     for dim, n in dims:
         routed = route(reps.where(F.col("dim") == dim), dim, n, plan)
-        part = materialize(routed.groupBy("cell").applyInArrow(_cell(dim, link, compact, plan.trees, plan.bits), _FOUND), "storyline-links")
+        part = materialize(routed.groupBy("cell").applyInArrow(_cell(dim, link, compact, plan.bits), _FOUND), "storyline-links")
         found = part if found is None else found.union(part)
     if found is None:
         found = v.rows.sparkSession.createDataFrame([], _FOUND)
     links = found.where(F.col("kind") == EDGE).select("a", "b")
     unsure = found.where(F.col("kind") == UNSURE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     confirmed = exact_cosines(materialize(unsure, "storyline-doubts"), v.source).where(F.col("cosine") >= link).select("a", "b")
-    leaves = found.where(F.col("kind") == LEAF).select(F.col("a").alias("rep"), F.col("b").alias("leaf"))
+    leaves = found.where(F.col("kind") == LEAF).select(F.col("a").alias("rep"), F.col("b").alias("leaf"), "cosine")
     return links.union(confirmed), leaves
 
 
@@ -161,7 +172,7 @@ def storylines(embeddings: DataFrame, link: float = LINK, compact: float = COMPA
     links, leaves = _found(v, link, compact, plan)
     roots = connected_components(links)
     classes = v.classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "rep")).join(leaves, "rep", "left")
+    classes = classes.withColumn("root", F.coalesce("root", "rep")).join(leaves.select("rep", "leaf"), "rep", "left")
     sizes_of = classes.groupBy("root").agg(F.sum("n").alias("size"))
     placed = materialize(classes.join(sizes_of, "root").select("rep", F.col("root").alias("storyline_id"), "size", "leaf"), "storylines")
     rep_of = v.rows.select("embedding_id").join(maybe_broadcast(v.copies.select("embedding_id", "rep")), "embedding_id", "left")
@@ -175,6 +186,26 @@ def found_storylines(embeddings: DataFrame, least: int = 4, **kw) -> DataFrame:
     return members.where(F.col("size") >= least).select("embedding_id", "storyline_id")
 
 
+def described_leaves(embeddings: DataFrame, typical: int = 3, **kw) -> DataFrame:
+    """One row per leaf of the tree: storyline_id, size, dispersion, least_cosine and the members nearest to its centre.
+
+    ``size`` counts copies; ``typical_ids`` are up to ``typical`` embedding_ids by their cosine to
+    the centre, joined by commas, of equal ones the smaller id first, each direction under its
+    smallest id. ``dispersion`` is one less the mean cosine to the centre. Leaves of a single
+    embedding and storylines of one leaf are included; an empty table gives no rows.
+    """
+    members, leaves, v = storylines(embeddings, **kw)
+    storyline = members.groupBy("leaf").agg(F.min("storyline_id").alias("storyline_id"))
+    rows = leaves.join(v.classes.select("rep", "n"), "rep").withColumn("cosine", F.round(F.col("cosine").cast("double"), 4))
+    w = Window.partitionBy("leaf").orderBy(F.desc("cosine"), "rep")
+    top = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= typical)
+    named = top.groupBy("leaf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "rep"))), lambda s: s["rep"].cast("string")), ",").alias("typical_ids"))
+    sizes = rows.groupBy("leaf").agg(
+        F.sum("n").alias("size"), F.round(1 - F.sum(F.col("cosine") * F.col("n")) / F.sum("n"), 4).alias("dispersion"), F.min("cosine").alias("least_cosine")
+    )
+    return sizes.join(named, "leaf").join(storyline, "leaf").select("leaf", "storyline_id", "size", "dispersion", "least_cosine", "typical_ids")
+
+
 def describe_storylines(embeddings: DataFrame, memberships: DataFrame, typical: int = 3, least: int = 2, **kw) -> DataFrame:
     """One row per storyline: size, leaves, compactness, most typical members, earlier evidence.
 
@@ -189,18 +220,22 @@ def describe_storylines(embeddings: DataFrame, memberships: DataFrame, typical:
     vectors = v.rows.select("embedding_id", "dim", "q", "scale").join(chosen.select("embedding_id", "storyline_id"), "embedding_id")
     vectors = materialize(vectors, "storyline-vectors")
 
-    def unit_rows(pdf: pd.DataFrame) -> list[np.ndarray]:
-        out = []
-        for q in pdf["q"]:
-            x = np.frombuffer(q, np.int16).astype(np.float64)
-            out.append(x / np.sqrt(x @ x))
-        return out
+    def by_length(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of each vector length and their unit vectors."""
+        sizes = pdf["q"].map(len).to_numpy()
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            x = np.frombuffer(b"".join(pdf["q"].iloc[rows]), np.int16).reshape(len(rows), -1).astype(np.float64)
+            yield rows, x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for pdf in batches:
-            for s, x in zip(pdf["storyline_id"], unit_rows(pdf), strict=True):
-                sums[s] = sums[s] + x if s in sums else x
+            for rows, x in by_length(pdf):
+                names, group = np.unique(pdf["storyline_id"].to_numpy()[rows], return_inverse=True)
+                order = np.argsort(group, kind="stable")
+                for name, total in zip(names.tolist(), np.add.reduceat(x[order], np.searchsorted(group[order], np.arange(len(names))), axis=0), strict=True):
+                    sums[name] = sums[name] + total if name in sums else total
             if len(sums) > 20_000:
                 yield pd.DataFrame({"storyline_id": list(sums), "total": [x.tobytes() for x in sums.values()]})
                 sums = {}
@@ -215,17 +250,15 @@ def describe_storylines(embeddings: DataFrame, memberships: DataFrame, typical:
 
     def distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cos = []
-            for c, x in zip(pdf["centre"], unit_rows(pdf), strict=True):
-                c = np.frombuffer(c)
-                norm = np.sqrt(c @ c)
-                cos.append(float(x @ c / norm) if norm > 0 else 0.0)
+            cos = np.zeros(len(pdf))
+            for rows, x in by_length(pdf):
+                c = np.frombuffer(b"".join(pdf["centre"].iloc[rows])).reshape(len(rows), -1)
+                norm = np.sqrt((c * c).sum(axis=1))
+                cos[rows] = np.divide((x * c).sum(axis=1), norm, out=np.zeros(len(rows)), where=norm > 0)
             yield pdf[["embedding_id", "storyline_id"]].assign(cosine=cos)
 
     near = vectors.join(centres, "storyline_id").mapInPandas(distance, "embedding_id bigint, storyline_id bigint, cosine double")
     near = near.withColumn("cosine", F.round("cosine", 9))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("storyline_id").orderBy(F.desc("cosine"), "embedding_id")
     top = near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= typical)
     exemplars = top.groupBy("storyline_id").agg(

@@ -1,8 +1,11 @@
 """Selection of usable embedding vectors and their distribution over overlapping cells.
 
-A bisecting k-means tree, fitted on a bounded sample, gives the cells; every vector is sent to
-its nearest cells. Copies of one direction are represented by one row, so a group of copies
-costs as much as a single vector.
+A forest of bisecting k-means trees gives the cells; every vector is sent to its nearest cells
+of each tree. The trees split all rows across the cluster: a bounded sample proposes the splits
+of a few levels, one aggregate over all rows gives every node's size, centre and dispersion, and
+nodes that are still too large are split on. Each tree looks at the vectors through a random
+whitened subspace of its own, so neighbours that one tree parts meet in another. Copies of one
+direction are represented by one row, so a group of copies costs as much as a single vector.
 """
 
 from __future__ import annotations
@@ -14,21 +17,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediagauge.session import materialize
 
 #: Rows whose nearest cell a cell should be.
 CELL_ROWS = 1_500
-#: Vectors to which the cell tree is fitted.
+#: Vectors that propose the splits of the trees.
 SAMPLE_ROWS = 20_000
-#: Cells of one tree; beyond it cells are split again by trees of their own.
+#: Cells of one tree; beyond it cells that are too large are split again by trees of their own.
 MAX_CELLS = 1_024
-#: Cells to which each vector is sent.
-PROBES = 3
-#: Rows up to which a side of a join is broadcast.
-BROADCAST_ROWS = 50_000
+#: Levels that the trees grow before the next aggregate over all rows.
+LEVELS_A_ROUND = 3
+#: Rows and bytes up to which a side of a join is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 
 
 @dataclass
@@ -42,10 +45,17 @@ class Vectors:
     copies: DataFrame
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to hold at most BROADCAST_ROWS rows."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it was measured to hold at most BROADCAST_ROWS rows and BROADCAST_BYTES."""
+    size = F.lit(8 * len(df.columns)).cast("bigint")
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind in ("array", "map"):
+            size = size + 32 * F.greatest(F.size(f.name), F.lit(0))
+    rows, width = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and width <= BROADCAST_BYTES else df
 
 
 def quantize(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,27 +163,26 @@ def _centres(x: np.ndarray, group: np.ndarray, count: int) -> tuple[np.ndarray,
     return np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0), sizes
 
 
-def bisect(x: np.ndarray, compact: float, max_rows: int, rounds: int = 3, max_depth: int = 60) -> np.ndarray:
+def bisect(x: np.ndarray, compact: float, max_rows: int, rounds: int = 3) -> np.ndarray:
     """Leaf number of each unit vector after bisecting k-means.
 
     A node is split while some member's cosine to its centre is under ``compact`` or it holds
     more than ``max_rows`` rows. As the limits are those of single nodes, all nodes that miss
     them are split together; the leaves are the same as when splitting the largest dispersion
-    first. A node that 2-means cannot divide is cut at the median.
+    first. A node that 2-means cannot divide is cut at the median, so both parts are smaller and
+    the limits hold for every leaf in the end.
     """
     n = len(x)
     leaf = np.full(n, -1, dtype=np.int64)
     rows, node, next_leaf = np.arange(n), np.zeros(n, dtype=np.int64), 0
-    for depth in range(max_depth + 1):
-        if not len(rows):
-            break
+    while len(rows):
         _, node = np.unique(node, return_inverse=True)
         count = int(node.max()) + 1
         xs = x[rows]
         centre, sizes = _centres(xs, node, count)
         cosine = np.einsum("ij,ij->i", xs, centre[node])
         far = _first_per_group(node, cosine, count)
-        done = ((cosine[far] >= compact) & (sizes <= max_rows)) | (sizes == 1) | (depth == max_depth)
+        done = ((cosine[far] >= compact) & (sizes <= max_rows)) | (sizes == 1)
         if done.any():
             numbers = np.where(done, next_leaf + np.cumsum(done) - 1, -1)
             settled = done[node]
@@ -218,30 +227,106 @@ def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
     return _centres(sample, leaf, int(leaf.max()) + 1)[0].astype(np.float32)
 
 
-def pick_pivots(sample: np.ndarray, cells: int, seed: int, most: int) -> np.ndarray:
-    """``cells`` random rows of the sample as centres, and more within cells that hold over twice their share."""
-    rng = np.random.default_rng(seed)
-    if not len(sample):
-        return np.zeros((1, sample.shape[1]), np.float32)
-    chosen = list(rng.choice(len(sample), min(cells, len(sample)), replace=False))
-    for _ in range(8):
-        home = (sample @ sample[chosen].T).argmax(axis=1)
-        counts = np.bincount(home, minlength=len(chosen))
-        extra = []
-        for k in np.flatnonzero(counts > max(2, 2 * len(sample) / max(1, cells))):
-            inside = np.setdiff1d(np.flatnonzero(home == k), chosen)
-            want = min(len(inside), int(counts[k] * cells // len(sample)))
-            extra += list(rng.choice(inside, want, replace=False))
-        if not extra or len(chosen) + len(extra) > most:
-            break
-        chosen += extra
-    return sample[chosen]
+@dataclass
+class Tree:
+    """A bisecting tree over unit vectors seen through ``axes`` after subtracting ``mean``.
+
+    Node arrays: children (-1 where none), unit centre, rows, dispersion (1 - length of the mean
+    vector) and whether the node may still be split.
+    """
+
+    mean: np.ndarray
+    axes: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    centre: np.ndarray
+    rows: np.ndarray
+    dispersion: np.ndarray
+    open: np.ndarray
+
+    def project(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors of the tree's subspace; a vector that vanishes there stays zero."""
+        y = (x - self.mean) @ self.axes
+        norm = np.sqrt((y * y).sum(axis=1, keepdims=True))
+        return np.divide(y, norm, out=np.zeros_like(y), where=norm > 1e-9)
+
+    def descend(self, y: np.ndarray) -> np.ndarray:
+        """The node without children that each projected row falls into."""
+        node = np.zeros(len(y), dtype=np.int64)
+        todo = np.arange(len(y)) if self.left[0] >= 0 else np.zeros(0, np.int64)
+        while len(todo):
+            at = node[todo]
+            lean = np.einsum("ij,ij->i", y[todo], self.centre[self.right[at]] - self.centre[self.left[at]])
+            node[todo] = np.where(lean > 0, self.right[at], self.left[at])
+            todo = todo[self.left[node[todo]] >= 0]
+        return node
+
+    @property
+    def cells(self) -> np.ndarray:
+        """Nodes without children, in order."""
+        return np.flatnonzero(self.left < 0)
+
+    def grow(self, y: np.ndarray, limit: int, most: int, levels: int = LEVELS_A_ROUND) -> None:
+        """Split nodes of more than ``limit`` rows by 2-means of the sample ``y``, largest dispersion first, to at most ``most`` cells."""
+        for _ in range(levels):
+            node = self.descend(y)
+            held = np.bincount(node, minlength=len(self.left))
+            ready = np.flatnonzero((self.left < 0) & self.open & (self.rows > limit))
+            ready = ready[np.lexsort((ready, -self.dispersion[ready] * self.rows[ready]))][: max(0, most - len(self.cells))]
+            for k in ready:
+                part = y[node == k]
+                side = bisect(part, -2.0, len(part) - 1) if held[k] > 1 else np.zeros(len(part), np.int64)
+                # The first split only: bisect stops as soon as no part holds all rows.
+                if len(np.unique(side)) < 2:
+                    self.open[k] = False
+                    continue
+                centres, sizes = _centres(part, (side > 0).astype(np.int64), 2)
+                at = len(self.left)
+                self.left[k], self.right[k] = at, at + 1
+                shares = self.rows[k] * sizes / sizes.sum()
+                self.left, self.right = np.append(self.left, [-1, -1]), np.append(self.right, [-1, -1])
+                self.centre = np.concatenate([self.centre, centres.astype(np.float32)])
+                self.rows = np.append(self.rows, shares.astype(np.int64))
+                self.dispersion = np.append(self.dispersion, [self.dispersion[k]] * 2)
+                self.open = np.append(self.open, [True, True])
+
+    def update(self, sums: dict[int, tuple[int, np.ndarray]]) -> None:
+        """Sizes, centres and dispersions of all nodes from the rows and vector sums of those without children."""
+        total = np.zeros((len(self.left), self.centre.shape[1]))
+        rows = np.zeros(len(self.left), dtype=np.int64)
+        for k, (n, vector) in sums.items():
+            rows[k], total[k] = n, vector
+        for k in range(len(self.left) - 1, -1, -1):  # children come after their parents
+            if self.left[k] >= 0:
+                rows[k] = rows[self.left[k]] + rows[self.right[k]]
+                total[k] = total[self.left[k]] + total[self.right[k]]
+        norm = np.sqrt((total * total).sum(axis=1))
+        good = norm > 1e-9
+        self.centre[good] = (total[good] / norm[good, None]).astype(np.float32)
+        self.rows = rows
+        self.dispersion = 1 - np.divide(norm, rows, out=np.zeros_like(norm), where=rows > 0)
+
+
+def new_tree(sample: np.ndarray, rows: int, seed: int) -> Tree:
+    """A tree of one node; ``axes`` whiten the sample and keep a random subspace of half the dimensions, of an eighth beyond 384."""
+    dim = sample.shape[1]
+    mean = sample.mean(axis=0) if len(sample) else np.zeros(dim, np.float32)
+    axes = np.eye(dim, dtype=np.float32)
+    if len(sample) > dim >= 8:
+        values, vectors = np.linalg.eigh(np.cov((sample - mean).T))
+        spread = np.sqrt(np.maximum(values, 0))
+        turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0][:, : max(min(dim // 2, 48), dim // 8)]
+        axes = (vectors / (spread + 0.2 * np.sqrt((spread**2).mean()) + 1e-9)) @ turn
+    else:
+        mean = np.zeros_like(mean)
+    none = np.array([-1])
+    return Tree(mean.astype(np.float32), axes.astype(np.float32), none.copy(), none.copy(), np.zeros((1, axes.shape[1]), np.float32), np.array([rows]), np.ones(1), np.array([True]))
 
 
 # ---- routing ----
 
-#: A routed row: its cell, whether the cell is its nearest of the tree, its copy, and all its cells, the nearest of each tree first.
-ROUTED = "cell bigint, home boolean, embedding_id bigint, q binary, cells array<bigint>"
+#: A routed row: its cell, whether that is its home (the nearest of the tree), whether it is one of the others, and a mark that rows share which have met at home in the first tree.
+ROUTED = "cell bigint, home boolean, other boolean, embedding_id bigint, q binary, place bigint"
 # A cell's number: tree, cell of the tree, and after a second split 1 + part of that cell.
 _TREE = 1 << 36
 _CELL = 1 << 20
@@ -285,92 +370,147 @@ def _nearest(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(top, order, axis=1).astype(np.int64)
 
 
-def _routed(ids: pa.Array, packed: list[bytes], near: list[np.ndarray], with_cells: bool) -> pa.RecordBatch:
-    """Rows for the cells of ``near``, one array (rows x probes) per tree; the nearest of each tree come first."""
-    n = len(packed)
-    flat = np.concatenate([a[:, :1] for a in near] + [a[:, 1:] for a in near], axis=1)
-    home = np.arange(flat.shape[1]) < len(near)
-    rows = np.repeat(np.arange(n), flat.shape[1])
-    if with_cells:
-        p = flat.shape[1]
-        cells = pa.ListArray.from_arrays(pa.array(np.arange(0, n * p + 1, p), pa.int32()), pa.array(flat.ravel(), pa.int64())).take(pa.array(rows))
-    else:
-        cells = pa.nulls(len(rows), pa.list_(pa.int64()))
+def _routed(ids: pa.Array, packed: list[bytes], other: pa.Array, rows: np.ndarray, cell: np.ndarray, home: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """One routed row for each entry of ``rows``, an index into ids, packed and other."""
+    at = pa.array(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(flat.ravel(), pa.int64()), pa.array(np.tile(home, n)), ids.take(pa.array(rows)), pa.array(packed, pa.binary()).take(pa.array(rows)), cells],
-        names=["cell", "home", "embedding_id", "q", "cells"],
+        [pa.array(cell, pa.int64()), pa.array(home), other.take(at), ids.take(at), pa.array(packed, pa.binary()).take(at), pa.array(place, pa.int64())],
+        names=["cell", "home", "other", "embedding_id", "q", "place"],
     )
 
 
 @dataclass
 class Plan:
-    """How vectors are sent to cells: ``trees`` says for each tree its kind and how many cells a row goes to."""
+    """How vectors are sent to cells: ``trees`` says of each tree to how many of its cells a row goes."""
 
-    trees: tuple[tuple[str, int], ...] = (("bisect", PROBES),)
+    trees: tuple[int, ...] = (3, 3, 3)
     bits: int = 16
     cell_rows: int = CELL_ROWS
     sample_rows: int = SAMPLE_ROWS
     max_cells: int = MAX_CELLS
 
 
-def one_level(rows: int, plan: Plan) -> bool:
-    """Whether one tree has enough cells for so many rows."""
-    return rows <= plan.cell_rows * plan.max_cells
+def _sample(reps: DataFrame, dim: int, rows: int, plan: Plan) -> np.ndarray:
+    """About ``sample_rows`` vectors, chosen by a hash of the id; no sort, no limit before the filter."""
+    whole = 1 << 30
+    share = min(whole, math.ceil(1.2 * plan.sample_rows * whole / max(1, rows)))
+    taken = reps.where(F.pmod(F.xxhash64("embedding_id"), F.lit(whole)) < share).select("q", "scale").toArrow()
+    return dequantize(taken.column("q").to_pylist(), taken.column("scale").to_numpy(), dim) if taken.num_rows else np.zeros((0, dim), np.float32)
 
 
-def route(reps: DataFrame, dim: int, rows: int, plan: Plan) -> DataFrame:
-    """Every vector of ``reps`` (all of dimension ``dim``, ``rows`` many) in its nearest cells of each tree.
+def _node_sums(reps: DataFrame, dim: int, trees: list[Tree]) -> list[dict[int, tuple[int, np.ndarray]]]:
+    """Rows and vector sum of every node without children of each tree, over all rows; one aggregate."""
+    width = trees[0].axes.shape[1]
 
-    A tree is either "bisect", centres of bisecting k-means, or "pivot", random rows as centres;
-    both come from one sample. A cell's number holds that of its tree. Where a tree would need
-    more than ``max_cells`` cells, each of its cells is split by a tree of its own, fitted on
-    rows of that cell.
-    """
-    want = max(1, math.ceil(rows / plan.cell_rows))
-    taken = reps.orderBy(F.xxhash64("embedding_id")).limit(plan.sample_rows).select("q", "scale").toArrow()
-    sample = dequantize(taken.column("q").to_pylist(), taken.column("scale").to_numpy(), dim) if taken.num_rows else np.zeros((0, dim), np.float32)
-    top = min(want, plan.max_cells)
-    sets = [fit_cells(sample, top) if kind == "bisect" else pick_pivots(sample, top, seed, 2 * plan.max_cells) for seed, (kind, _) in enumerate(plan.trees)]
-    parts = 1 if one_level(rows, plan) else math.ceil(want / top)
-    probes = [p if parts == 1 else 1 for _, p in plan.trees]
-    bits, with_cells = plan.bits, plan.bits == 16
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [(np.zeros(len(t.left), np.int64), np.zeros((len(t.left), width))) for t in trees]
         for batch in batches:
             if batch.num_rows:
                 x = dequantize(batch.column("q").to_pylist(), batch.column("scale").to_numpy(), dim)
-                near = [_nearest(x, c, p) * _CELL + t * _TREE for t, (c, p) in enumerate(zip(sets, probes, strict=True))]
-                yield _routed(batch.column("embedding_id"), pack_rows(x, bits), near, with_cells)
+                for tree, (rows, total) in zip(trees, totals, strict=True):
+                    y = tree.project(x)
+                    node = tree.descend(y)
+                    order = np.argsort(node, kind="stable")
+                    seen, starts = np.unique(node[order], return_index=True)
+                    rows[seen] += np.diff(np.append(starts, len(node)))
+                    total[seen] += np.add.reduceat(y[order], starts, axis=0)
+        at = [(t, int(k)) for t, (rows, _) in enumerate(totals) for k in np.flatnonzero(rows)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([t for t, _ in at], pa.int32()), pa.array([k for _, k in at], pa.int32()), pa.array([int(totals[t][0][k]) for t, k in at], pa.int64()), pa.array([totals[t][1][k] for t, k in at], pa.list_(pa.float64()))],
+            names=["tree", "node", "n", "total"],
+        )
 
-    routed = reps.select("embedding_id", "q", "scale").mapInArrow(send, ROUTED)
-    return routed if parts == 1 else _split_cells(materialize(routed, "vector-cells"), dim, parts, plan)
+    parts = reps.select("q", "scale").mapInArrow(add, "tree int, node int, n bigint, total array<double>")
+    summed = parts.groupBy("tree", "node").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total"))
+    out: list[dict] = [{} for _ in trees]
+    for r in summed.collect():  # at most twice max_cells rows a tree
+        out[r["tree"]][r["node"]] = (r["n"], np.array(r["total"]))
+    return out
+
+
+def fit_forest(reps: DataFrame, dim: int, rows: int, plan: Plan) -> list[Tree]:
+    """Trees whose cells hold at most ``cell_rows`` rows, or ``max_cells`` cells each."""
+    sample = _sample(reps, dim, rows, plan) if rows > plan.cell_rows else np.zeros((0, dim), np.float32)
+    trees = [new_tree(sample, rows, seed) for seed in range(len(plan.trees))]
+    seen = [t.project(sample) for t in trees]
+    while True:
+        before = sum(len(t.left) for t in trees)
+        for tree, y in zip(trees, seen, strict=True):
+            tree.grow(y, plan.cell_rows, plan.max_cells)
+        if sum(len(t.left) for t in trees) == before:
+            return trees
+        for tree, sums in zip(trees, _node_sums(reps, dim, trees), strict=True):
+            tree.update(sums)
+
+
+def route(reps: DataFrame, dim: int, rows: int, plan: Plan, others: DataFrame | None = None) -> DataFrame:
+    """Every vector of ``reps`` (all of dimension ``dim``, ``rows`` many) in its nearest cells of each tree.
 
+    A cell's number holds that of its tree. A cell of over twice ``cell_rows`` rows (where a tree
+    would need more than ``max_cells``) is split by a tree of its own; a row goes on to the nearest
+    part of every cell it visits, and at home to the two nearest. ``others`` are routed as well,
+    but have no say in the cells.
+    """
+    forest = fit_forest(reps, dim, rows, plan)
+    cells = [t.cells for t in forest]
+    large = {t * _TREE + c * _CELL: math.ceil(forest[t].rows[k] / plan.cell_rows) for t, at in enumerate(cells) for c, k in enumerate(at) if forest[t].rows[k] > 2 * plan.cell_rows}
+    bits, probes = plan.bits, plan.trees
 
-def _split_cells(first: DataFrame, dim: int, parts: int, plan: Plan) -> DataFrame:
-    """Second level: ``parts`` cells within each cell; a row goes to the nearest of its own cell's."""
-    w = Window.partitionBy("cell").orderBy(F.xxhash64("embedding_id"))
-    sample = first.withColumn("at", F.row_number().over(w)).where(F.col("at") <= plan.sample_rows).select("cell", "q")
-    trees, bits, with_cells = plan.trees, plan.bits, plan.bits == 16
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n:
+                x = dequantize(batch.column("q").to_pylist(), batch.column("scale").to_numpy(), dim)
+                near = [_nearest(t.project(x), t.centre[at], p) * _CELL + k * _TREE for k, (t, at, p) in enumerate(zip(forest, cells, probes, strict=True))]
+                place = near[0][:, 0]
+                if large:  # rows of a cell that is split on need not meet
+                    place = np.where(np.isin(place, list(large)), -1 - np.arange(n) - (xxhash.xxh3_64_intdigest(batch.column("q")[0].as_py()) >> 2), place)
+                flat = np.concatenate(near, axis=1)
+                home = np.concatenate([np.arange(a.shape[1]) == 0 for a in near])
+                yield _routed(batch.column("embedding_id"), pack_rows(x, bits), batch.column("other"), np.repeat(np.arange(n), flat.shape[1]), flat.ravel(), np.tile(home, n), np.repeat(place, flat.shape[1]))
+
+    everyone = reps.select("embedding_id", "q", "scale", F.lit(False).alias("other"))
+    if others is not None:
+        everyone = everyone.union(others.select("embedding_id", "q", "scale", F.lit(True)))
+    routed = everyone.mapInArrow(send, ROUTED)
+    if not large:
+        return routed
+    first = materialize(routed, "vector-cells")
+    return first.where(~F.col("cell").isin(list(large))).union(_split_cells(first, dim, large, forest, plan))
+
+
+def _split_cells(first: DataFrame, dim: int, large: dict[int, int], forest: list[Tree], plan: Plan) -> DataFrame:
+    """Second level: the cells of ``large`` in so many parts each."""
+    most = plan.max_cells
+    # One row a large cell, at most max_cells a tree.
+    told = first.sparkSession.createDataFrame([(c, min(p, most), min(1.0, 20.0 * min(p, most) / (p * plan.cell_rows))) for c, p in large.items()], "cell bigint, parts int, share double")
+    whole = 1 << 30
+    sample = first.where("home and not other").join(F.broadcast(told), "cell").where(F.pmod(F.xxhash64("embedding_id"), F.lit(whole)) < F.col("share") * whole).select("cell", "parts", "q")
 
     def fit(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
-        x = unpack_rows(table.column("q").to_pylist(), dim)
-        t = tree_of(cell)
-        centres = fit_cells(x, parts) if trees[t][0] == "bisect" else pick_pivots(x, parts, t, 4 * parts)
-        return pa.table({"cell": pa.array([cell], pa.int64()), "centres": pa.array([centres.tobytes()], pa.binary())})
+        y = forest[tree_of(cell)].project(unpack_rows(table.column("q").to_pylist(), dim))
+        return pa.table({"cell": pa.array([cell], pa.int64()), "centres": pa.array([fit_cells(y, table.column("parts")[0].as_py()).tobytes()], pa.binary())})
 
-    fitted = sample.groupBy("cell").applyInArrow(fit, "cell bigint, centres binary")
+    fitted = materialize(sample.groupBy("cell").applyInArrow(fit, "cell bigint, centres binary"), "cell-parts")
     salts = 16
     many = fitted.select("cell", "centres", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = first.select("cell", "embedding_id", "q", F.pmod(F.xxhash64("embedding_id"), F.lit(salts)).cast("int").alias("salt"))
+    salted = first.join(F.broadcast(told.select("cell")), "cell", "left_semi").withColumn("salt", F.pmod(F.xxhash64("embedding_id"), F.lit(salts)).cast("int"))
 
     def resend(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        cell = key[0].as_py()
-        packed = left.column("q").to_pylist()
-        centres = np.frombuffer(right.column("centres")[0].as_py(), dtype=np.float32).reshape(-1, dim)
-        near = _nearest(unpack_rows(packed, dim), centres, trees[tree_of(cell)][1]) + cell + 1
-        ids = left.column("embedding_id").combine_chunks() if left.num_rows else pa.array([], pa.int64())
-        return pa.Table.from_batches([_routed(ids, packed, [near], with_cells)])
+        cell, n = key[0].as_py(), left.num_rows
+        if not n:
+            return pa.Table.from_batches([], _routed(pa.array([], pa.int64()), [], pa.array([], pa.bool_()), *(np.zeros(0, np.int64),) * 2, np.zeros(0, bool), np.zeros(0, np.int64)).schema)
+        packed, home = left.column("q").to_pylist(), left.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        tree = forest[tree_of(cell)]
+        y = tree.project(unpack_rows(packed, dim))
+        centres = np.frombuffer(right.column("centres")[0].as_py(), dtype=np.float32).reshape(-1, y.shape[1]) if right.num_rows else np.zeros((1, y.shape[1]), np.float32)
+        near = _nearest(y, centres, 2) + cell + 1
+        wanted = np.ones(near.shape, dtype=bool)
+        wanted[~home, 1:] = False
+        row, column = np.nonzero(wanted)
+        ids, other, place = left.column("embedding_id").combine_chunks(), left.column("other").combine_chunks(), left.column("place").to_numpy()
+        return pa.Table.from_batches([_routed(ids, packed, other, row, near[row, column], home[row] & (column == 0), place[row])])
 
     return salted.groupBy("cell", "salt").cogroup(many.groupBy("cell", "salt")).applyInArrow(resend, ROUTED)
 
@@ -393,11 +533,14 @@ def exact_cosines(pairs: DataFrame, source: DataFrame) -> DataFrame:
             x, y = batch.column("va"), batch.column("vb")
             ox, oy = x.offsets.to_numpy(), y.offsets.to_numpy()
             fx, fy = (c.values.to_numpy(zero_copy_only=False).astype(np.float64) for c in (x, y))
-            out = []
-            for i in range(batch.num_rows):
-                p, q = fx[ox[i] : ox[i + 1]], fy[oy[i] : oy[i + 1]]
-                square = (p @ p) * (q @ q) if len(p) == len(q) else 0.0
-                out.append(float(p @ q / math.sqrt(square)) if square > 0 else None)
+            size = np.diff(ox)
+            out = np.full(batch.num_rows, np.nan)
+            for dim in np.unique(size):
+                rows = np.flatnonzero((size == dim) & (np.diff(oy) == dim))
+                p, q = fx[ox[rows][:, None] + np.arange(dim)], fy[oy[rows][:, None] + np.arange(dim)]
+                square = (p * p).sum(axis=1) * (q * q).sum(axis=1)
+                out[rows] = np.divide((p * q).sum(axis=1), np.sqrt(square), out=np.full(len(rows), np.nan), where=square > 0)
+            out = np.where(np.isnan(out), None, out)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "cosine"])
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(cosine, "a bigint, b bigint, cosine double")
