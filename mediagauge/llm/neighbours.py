@@ -1,6 +1,6 @@
 """Most similar vectors by NN-descent.
 
-The graph starts from the neighbours that share a cell of one tree and from their reverse edges;
+The graph starts from the neighbours that share a cell and from their reverse edges;
 each round then joins the neighbours of neighbours that have not met, of which at least one edge
 is new, scores the pairs on packed vectors, and keeps the best edges of each vector. Copies of
 one direction are one node and are spread out at the end. Queries search the graph greedily.
@@ -22,8 +22,8 @@ from mediagauge.session import discard, materialize
 GRAPH_K = 8
 #: Cosine under which an edge is dropped where the caller needs similar vectors only; None keeps the best of all.
 FLOOR = 0.8
-#: One tree, two cells a vector: enough for a start that has edges across the borders of cells.
-PLAN = Plan(trees=(2,), bits=16)
+#: Two trees, two cells a vector in each: a start that has edges across the borders of cells.
+PLAN = Plan(trees=(2, 2), bits=16)
 #: For neighbours of any similarity: unlike vectors spread over more cells.
 WIDE_PLAN = Plan(trees=(3, 3), bits=16)
 #: Members of a node's neighbourhood that are joined, nearest first, reverse neighbours included.
