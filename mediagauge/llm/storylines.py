@@ -40,6 +40,8 @@ LINK = 0.80
 #: Smallest cosine of a member to its leaf's centre.
 COMPACT = 0.85
 LEAF, EDGE, UNSURE = 0, 1, 2
+#: Rows of the leaves that are compared with the rows near them at once.
+BLOCK_ROWS = 256
 #: Leaves that a cell can number.
 LEAVES = 1 << 20
 #: Three trees, the first of which gives the leaves; a row visits three cells of each.
@@ -77,10 +79,11 @@ def leaf_links(x: np.ndarray, home: np.ndarray, link: float, compact: float, sla
     radius = np.arccos(np.minimum.reduceat(to_own[order], starts[:-1]))
     reach = np.where(norms[:, 0] > 1e-6, np.cos(np.minimum(np.pi, np.arccos(link - slack) + radius + 1e-2)), -2.0).astype(np.float32)
     sure, unsure = [], []
-    for at in range(0, count, 512):  # leaves by blocks, so that no matrix of all leaves and rows is held
-        near = x @ centres[at : at + 512].T >= reach[None, at : at + 512]
-        for k in range(at, min(at + 512, count)):
-            _split(mine[order[starts[k] : starts[k + 1]]], np.flatnonzero(near[:, k - at]), x, link, slack, sure, unsure)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(y), BLOCK_ROWS)), count))
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        # Rows that are near no leaf of the block are skipped.
+        near = (x @ centres[low:high].T >= reach[None, low:high]).any(axis=1)
+        _split(mine[order[starts[low] : starts[high]]], np.flatnonzero(near), x, link, slack, sure, unsure)
     return leaf, to_own, np.concatenate(sure), np.concatenate(unsure)
 
 

@@ -28,8 +28,8 @@ CELL_ROWS = 1_500
 SAMPLE_ROWS = 20_000
 #: Cells of one tree; beyond it cells that are too large are split again by trees of their own.
 MAX_CELLS = 1_024
-#: Levels that the trees grow before the next aggregate over all rows.
-LEVELS_A_ROUND = 3
+#: Levels that the trees grow before the next aggregate over all rows, and how far a cell may exceed its size after it.
+LEVELS_A_ROUND, LENIENCE = 8, 1.4
 #: Rows and bytes up to which a side of a join is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 
@@ -137,7 +137,7 @@ def select_vectors(embeddings: DataFrame) -> Vectors:
 def representatives(v: Vectors) -> DataFrame:
     """``embedding_id, dim, q, scale``: one row per direction."""
     extra = v.copies.where("embedding_id <> rep").select("embedding_id")
-    return v.rows.select("embedding_id", "dim", "q", "scale").join(maybe_broadcast(extra), "embedding_id", "left_anti")
+    return materialize(v.rows.select("embedding_id", "dim", "q", "scale").join(maybe_broadcast(extra), "embedding_id", "left_anti"), "vector-reps")
 
 
 # ---- bisecting k-means ----
@@ -163,6 +163,31 @@ def _centres(x: np.ndarray, group: np.ndarray, count: int) -> tuple[np.ndarray,
     return np.divide(sums, norms, out=np.zeros_like(sums), where=norms > 0), sizes
 
 
+def _halves(x: np.ndarray, node: np.ndarray, count: int, far: np.ndarray | None = None, rounds: int = 3) -> np.ndarray:
+    """Side 0 or 1 of each row after 2-means within each node, from its row ``far`` from the centre; neither side is empty."""
+    if far is None:
+        centre, _ = _centres(x, node, count)
+        far = _first_per_group(node, np.einsum("ij,ij->i", x, centre[node]), count)
+    a = x[far]
+    b = x[_first_per_group(node, np.einsum("ij,ij->i", x, a[node]), count)]
+    for _ in range(rounds):
+        lean = np.einsum("ij,ij->i", x, (b - a)[node])
+        side = (lean > 0).astype(np.int64)
+        both, sizes = _centres(x, node * 2 + side, 2 * count)
+        a, b = both[0::2], both[1::2]
+        a = np.where(sizes[0::2, None] > 0, a, b)
+        b = np.where(sizes[1::2, None] > 0, b, a)
+    stuck = (np.bincount(node * 2 + side, minlength=2 * count).reshape(-1, 2) == 0).any(axis=1)
+    if stuck.any():
+        order = np.lexsort((np.arange(len(node)), lean, node))
+        starts = np.searchsorted(node[order], np.arange(count))
+        rank = np.empty(len(node), dtype=np.int64)
+        rank[order] = np.arange(len(node)) - starts[node[order]]
+        size = np.bincount(node, minlength=count)
+        side = np.where(stuck[node], (rank >= (size[node] + 1) // 2).astype(np.int64), side)
+    return side
+
+
 def bisect(x: np.ndarray, compact: float, max_rows: int, rounds: int = 3) -> np.ndarray:
     """Leaf number of each unit vector after bisecting k-means.
 
@@ -197,24 +222,7 @@ def bisect(x: np.ndarray, compact: float, max_rows: int, rounds: int = 3) -> np.
             count = len(kept)
         else:
             far_row = far
-        a = xs[far_row]
-        to_a = np.einsum("ij,ij->i", xs, a[node])
-        b = xs[_first_per_group(node, to_a, count)]
-        for _ in range(rounds):
-            lean = np.einsum("ij,ij->i", xs, (b - a)[node])
-            side = (lean > 0).astype(np.int64)
-            both, sizes = _centres(xs, node * 2 + side, 2 * count)
-            a, b = both[0::2], both[1::2]
-            a = np.where(sizes[0::2, None] > 0, a, b)
-            b = np.where(sizes[1::2, None] > 0, b, a)
-        stuck = (np.bincount(node * 2 + side, minlength=2 * count).reshape(-1, 2) == 0).any(axis=1)
-        if stuck.any():
-            order = np.lexsort((np.arange(len(node)), lean, node))
-            starts = np.searchsorted(node[order], np.arange(count))
-            rank = np.empty(len(node), dtype=np.int64)
-            rank[order] = np.arange(len(node)) - starts[node[order]]
-            size = np.bincount(node, minlength=count)
-            side = np.where(stuck[node], (rank >= (size[node] + 1) // 2).astype(np.int64), side)
+        side = _halves(xs, node, count, far_row, rounds)
         node = node * 2 + side
     return leaf
 
@@ -268,27 +276,31 @@ class Tree:
 
     def grow(self, y: np.ndarray, limit: int, most: int, levels: int = LEVELS_A_ROUND) -> None:
         """Split nodes of more than ``limit`` rows by 2-means of the sample ``y``, largest dispersion first, to at most ``most`` cells."""
+        node = self.descend(y)
         for _ in range(levels):
-            node = self.descend(y)
             held = np.bincount(node, minlength=len(self.left))
-            ready = np.flatnonzero((self.left < 0) & self.open & (self.rows > limit))
+            wanted = np.flatnonzero((self.left < 0) & self.open & (self.rows > limit))
+            self.open[wanted[held[wanted] < 2]] = False
+            ready = wanted[held[wanted] >= 2]
             ready = ready[np.lexsort((ready, -self.dispersion[ready] * self.rows[ready]))][: max(0, most - len(self.cells))]
-            for k in ready:
-                part = y[node == k]
-                side = bisect(part, -2.0, len(part) - 1) if held[k] > 1 else np.zeros(len(part), np.int64)
-                # The first split only: bisect stops as soon as no part holds all rows.
-                if len(np.unique(side)) < 2:
-                    self.open[k] = False
-                    continue
-                centres, sizes = _centres(part, (side > 0).astype(np.int64), 2)
-                at = len(self.left)
-                self.left[k], self.right[k] = at, at + 1
-                shares = self.rows[k] * sizes / sizes.sum()
-                self.left, self.right = np.append(self.left, [-1, -1]), np.append(self.right, [-1, -1])
-                self.centre = np.concatenate([self.centre, centres.astype(np.float32)])
-                self.rows = np.append(self.rows, shares.astype(np.int64))
-                self.dispersion = np.append(self.dispersion, [self.dispersion[k]] * 2)
-                self.open = np.append(self.open, [True, True])
+            if not len(ready):
+                return
+            number = np.full(len(self.left), -1)
+            number[ready] = np.arange(len(ready))
+            inside = np.flatnonzero(number[node] >= 0)
+            group = number[node[inside]]
+            side = _halves(y[inside], group, len(ready))
+            both, sizes = _centres(y[inside], group * 2 + side, 2 * len(ready))
+            at = len(self.left)
+            self.left[ready], self.right[ready] = at + 2 * np.arange(len(ready)), at + 2 * np.arange(len(ready)) + 1
+            shares = np.repeat(self.rows[ready], 2) * sizes / np.repeat(sizes.reshape(-1, 2).sum(axis=1), 2)
+            none = np.full(2 * len(ready), -1)
+            self.left, self.right = np.append(self.left, none), np.append(self.right, none)
+            self.centre = np.concatenate([self.centre, both.astype(np.float32)])
+            self.rows = np.append(self.rows, shares.astype(np.int64))
+            self.dispersion = np.append(self.dispersion, np.repeat(self.dispersion[ready], 2))
+            self.open = np.append(self.open, none < 0)
+            node[inside] = at + 2 * group + side
 
     def update(self, sums: dict[int, tuple[int, np.ndarray]]) -> None:
         """Sizes, centres and dispersions of all nodes from the rows and vector sums of those without children."""
@@ -429,14 +441,16 @@ def _node_sums(reps: DataFrame, dim: int, trees: list[Tree]) -> list[dict[int, t
 
 
 def fit_forest(reps: DataFrame, dim: int, rows: int, plan: Plan) -> list[Tree]:
-    """Trees whose cells hold at most ``cell_rows`` rows, or ``max_cells`` cells each."""
+    """Trees whose cells hold about ``cell_rows`` rows, LENIENCE times as many at most, or ``max_cells`` cells each."""
     sample = _sample(reps, dim, rows, plan) if rows > plan.cell_rows else np.zeros((0, dim), np.float32)
     trees = [new_tree(sample, rows, seed) for seed in range(len(plan.trees))]
     seen = [t.project(sample) for t in trees]
+    limit = plan.cell_rows
     while True:
         before = sum(len(t.left) for t in trees)
         for tree, y in zip(trees, seen, strict=True):
-            tree.grow(y, plan.cell_rows, plan.max_cells)
+            tree.grow(y, limit, plan.max_cells)
+        limit = int(LENIENCE * plan.cell_rows)
         if sum(len(t.left) for t in trees) == before:
             return trees
         for tree, sums in zip(trees, _node_sums(reps, dim, trees), strict=True):
