@@ -1,9 +1,10 @@
 """Evaluation texts that leak into training text.
 
 Every task indexes its documents shard by shard: an FM-index over word numbers, with ranks from
-a wavelet matrix. All phrases of the evaluation items are searched backwards at once, their
-places found through sampled suffix positions, and overlapping places merged into spans.
-Words that no item contains are one separator in the index, since no phrase reaches across them.
+a wavelet matrix. A shard is indexed once; the phrases of the evaluation items, broadcast in
+blocks, are searched backwards in it block by block, their places found through sampled suffix
+positions, and overlapping places of all blocks merged into spans. Words that no item contains
+are one separator in the index, since no phrase reaches across them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +28,7 @@ PHRASE_WORDS = 12
 SHARD_WORDS = 1_000_000
 #: One suffix position in so many is stored.
 SAMPLE_STEP = 8
-#: Items searched at once; more are searched in blocks.
+#: Items whose phrases are one broadcast; more are searched in several blocks.
 BLOCK_ITEMS = 20_000
 
 _MARKS = regex.compile(r"\p{M}+")
@@ -131,40 +134,62 @@ def _suffix_array(text: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Phrases:
-    """numbers: word to symbol; rows: distinct phrases as symbols; items: the item_ids of each phrase."""
+    """rows: distinct phrases as symbols (places of their words in the vocabulary, from 1); items: item_ids of phrase k are ids[starts[k]:starts[k + 1]]."""
 
-    numbers: dict[str, int]
     rows: np.ndarray
-    items: list[list[int]]
+    ids: np.ndarray
+    starts: np.ndarray
 
 
-def compile_phrases(items: list[tuple[int, str | None]], length: int = PHRASE_WORDS) -> Phrases:
+def word_numbers(text: str | None) -> list[int]:
+    """64-bit numbers of a text's words."""
+    return [xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in words_of(text)]
+
+
+def compile_phrases(items: list[tuple[int, str | None]], vocabulary: np.ndarray, length: int = PHRASE_WORDS) -> Phrases:
     """All runs of ``length`` words of the items; shorter items, null and empty ones have none."""
-    numbers: dict[str, int] = {}
     where: dict[tuple[int, ...], set[int]] = defaultdict(set)
     for item, text in items:
-        symbols = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
+        symbols = (np.searchsorted(vocabulary, np.array(word_numbers(text), dtype=np.int64)) + 1).tolist()
         for k in range(len(symbols) - length + 1):
             where[tuple(symbols[k : k + length])].add(item)
-    rows = np.array(list(where), dtype=np.int64).reshape(-1, length)
-    return Phrases(numbers, rows, [sorted(s) for s in where.values()])
+    rows = np.array(list(where), dtype=np.int32).reshape(-1, length)
+    lists = [sorted(s) for s in where.values()]
+    return Phrases(rows, np.array([i for x in lists for i in x], dtype=np.int64), np.cumsum([0] + [len(x) for x in lists]))
 
 
 class Shard:
     """Documents whose runs of known words, at least one phrase long, are searched together."""
 
-    def __init__(self, phrases: Phrases, length: int):
-        self.phrases, self.length = phrases, length
+    def __init__(self, vocabulary: np.ndarray, length: int):
+        self.vocabulary, self.length = vocabulary, length
+        self.memo: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
         self.parts: list[np.ndarray] = []
         self.starts: list[int] = []  # place of each run in the shard's text
         self.owners: list[tuple[int, int]] = []  # document number and first word of each run
         self.size = 0
 
+    def _symbol(self, word: str) -> int:
+        if len(self.memo) > 500_000:
+            self.memo.clear()
+        number = xxhash.xxh3_64_intdigest(word) - (1 << 63)
+        at = int(np.searchsorted(self.vocabulary, number))
+        known = at < len(self.vocabulary) and self.vocabulary[at] == number
+        found = self.memo[word] = at + 1 if known else 0
+        return found
+
     def add(self, document: int, text: str | None) -> None:
-        get = self.phrases.numbers.get
-        known = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
+        get = self.memo.get
+        known = []
+        for w in words_of(text):
+            symbol = get(w)
+            known.append(self._symbol(w) if symbol is None else symbol)
         if len(known) < self.length:
             return
+        known = np.array(known, dtype=np.int64)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (known > 0).astype(np.int8), [0]])))
         for begin, end in zip(edge[0::2], edge[1::2], strict=True):
             if end - begin >= self.length:
@@ -173,49 +198,64 @@ class Shard:
                 self.owners.append((document, int(begin)))
                 self.size += int(end - begin) + 1
 
-    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document number, first word and phrase number of each occurrence."""
-        none = np.zeros(0, dtype=np.int64)
-        if not self.parts or not len(self.phrases.rows):
-            return none, none, none
-        index = FmIndex(np.concatenate(self.parts), len(self.phrases.numbers))
-        lo, hi = index.search(self.phrases.rows)
-        counts = hi - lo
-        phrase = np.repeat(np.arange(len(lo)), counts)
-        rows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-        place = index.locate(rows)
-        run = np.searchsorted(np.array(self.starts), place, side="right") - 1
-        owners = np.array(self.owners, dtype=np.int64)[run]
-        return owners[:, 0], owners[:, 1] + place - np.array(self.starts)[run], phrase
-
-
-def _search(documents: DataFrame, phrases: Phrases, length: int, shard_words: int, spans: bool) -> DataFrame:
+    def hits(self, blocks: list[Broadcast]) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block of phrases: document number, first word and phrase number of each occurrence."""
+        if not self.parts:
+            return
+        text = np.concatenate(self.parts)
+        # Symbols of the index are those that the shard has, renumbered.
+        present = np.unique(text[text > 0])
+        index = FmIndex(np.where(text > 0, np.searchsorted(present, text) + 1, 0), len(present))
+        owners, starts = np.array(self.owners, dtype=np.int64), np.array(self.starts)
+        for block in blocks:
+            phrases: Phrases = block.value
+            if not len(phrases.rows):
+                continue
+            at = np.minimum(np.searchsorted(present, phrases.rows), len(present) - 1)
+            whole = np.flatnonzero((present[at] == phrases.rows).all(axis=1))
+            lo, hi = index.search(at[whole] + 1)
+            counts = hi - lo
+            phrase = np.repeat(whole, counts)
+            rows = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+            place = index.locate(rows)
+            run = np.searchsorted(starts, place, side="right") - 1
+            yield phrases, owners[run, 0], owners[run, 1] + place - starts[run], phrase
+
+
+def _search(documents: DataFrame, vocabulary: Broadcast, blocks: list[Broadcast], length: int, shard_words: int, spans: bool) -> DataFrame:
     def flush(shard: Shard, ids: list[int]) -> pa.RecordBatch:
-        document, word, phrase = shard.hits()
+        pairs: set[tuple[int, int]] = set()
+        places: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for phrases, document, word, phrase in shard.hits(blocks):
+            for d, w, p in set(zip(document.tolist(), word.tolist() if spans else [0] * len(word), phrase.tolist(), strict=True)):
+                items = phrases.ids[phrases.starts[p] : phrases.starts[p + 1]].tolist()
+                if spans:
+                    places[d, w].update(items)
+                else:
+                    pairs.update((ids[d], i) for i in items)
+        shard.clear()
         if not spans:
-            found = sorted({(ids[d], item) for d, p in set(zip(document.tolist(), phrase.tolist(), strict=True)) for item in phrases.items[p]})
+            found = sorted(pairs)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["doc_id", "item_id"])
-        out = []
-        order = np.lexsort((word, document))
-        for k in order:
-            d, w, items = int(document[k]), int(word[k]), phrases.items[int(phrase[k])]
+        out: list[list] = []
+        for d, w in sorted(places):
             if out and out[-1][0] == d and w <= out[-1][2]:
                 out[-1][2] = max(out[-1][2], w + length)
-                out[-1][3].update(items)
+                out[-1][3].update(places[d, w])
             else:
-                out.append([d, w, w + length, set(items)])
+                out.append([d, w, w + length, set(places[d, w])])
         columns = [pa.array([ids[o[0]] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())]
         return pa.RecordBatch.from_arrays([*columns, pa.array([sorted(o[3]) for o in out], pa.list_(pa.int64()))], names=["doc_id", "first_word", "end_word", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ids = Shard(phrases, length), []
+        shard, ids = Shard(vocabulary.value, length), []
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 shard.add(len(ids), text)
                 ids.append(doc_id)
                 if shard.size >= shard_words:
                     yield flush(shard, ids)
-                    shard, ids = Shard(phrases, length), []
+                    ids = []
         if ids:
             yield flush(shard, ids)
 
@@ -223,14 +263,24 @@ def _search(documents: DataFrame, phrases: Phrases, length: int, shard_words: in
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _blocks(items: DataFrame, length: int) -> Iterator[Phrases]:
-    """Phrases of the items, at most about BLOCK_ITEMS items at a time."""
+def _prepared(items: DataFrame, length: int) -> tuple[Broadcast, list[Broadcast]]:
+    """The numbers of all words of items, sorted, and the phrases in blocks of about BLOCK_ITEMS items; each block is gone from the driver once it is broadcast."""
+    spark = items.sparkSession
     usable = items.select("item_id", "text").where("item_id is not null and text is not null")
-    count = usable.count()
-    blocks = max(1, -(-count // BLOCK_ITEMS))
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = {n for text in batch.column("text").to_pylist() for n in word_numbers(text)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], names=["n"])
+
+    words = usable.select("text").mapInArrow(numbers, "n bigint").distinct().toArrow().column("n").to_numpy()
+    vocabulary = np.sort(words)
+    blocks = max(1, -(-usable.count() // BLOCK_ITEMS))
+    out = []
     for b in range(blocks):
         part = usable.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else usable
-        yield compile_phrases([(r["item_id"], r["text"]) for r in part.collect()], length)
+        out.append(spark.sparkContext.broadcast(compile_phrases([(r["item_id"], r["text"]) for r in part.collect()], vocabulary, length)))
+    return spark.sparkContext.broadcast(vocabulary), out
 
 
 def leaked_pairs(documents: DataFrame, items: DataFrame, length: int = PHRASE_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -239,20 +289,12 @@ def leaked_pairs(documents: DataFrame, items: DataFrame, length: int = PHRASE_WO
     Each pair comes once, whatever the number of places. Null and empty texts match nothing,
     rows without doc_id or item_id are left out. Equal documents are all reported.
     """
-    wanted, found = documents.where("doc_id is not null"), None
-    for phrases in _blocks(items, length):
-        part = _search(wanted, phrases, length, shard_words, spans=False)
-        found = part if found is None else found.union(part)
-    return found.distinct()
+    return _search(documents.where("doc_id is not null"), *_prepared(items, length), length, shard_words, spans=False).distinct()
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, length: int = PHRASE_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``doc_id, first_word, end_word, items``: merged word spans to remove (end exclusive), with the items they come from.
 
-    With more than BLOCK_ITEMS items the spans of different blocks may overlap.
+    Spans of a document's text that overlap or touch are one, however many items there are.
     """
-    wanted, found = documents.where("doc_id is not null"), None
-    for phrases in _blocks(items, length):
-        part = _search(wanted, phrases, length, shard_words, spans=True)
-        found = part if found is None else found.union(part)
-    return found
+    return _search(documents.where("doc_id is not null"), *_prepared(items, length), length, shard_words, spans=True)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
+from mediagauge.llm import leakage
 from mediagauge.llm.leakage import FmIndex, leaked_pairs, leaked_spans, words_of
 
 
@@ -27,7 +29,9 @@ def test_words():
     assert words_of(None) == words_of(" ?! ") == []
 
 
-def test_pairs_and_spans(spark):
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_pairs_and_spans(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "BLOCK_ITEMS", block)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, "set", "en", " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 40)))) for i in range(30)]
@@ -58,6 +62,10 @@ def test_pairs_and_spans(spark):
     for shard in (1_000_000, 40):
         assert {(r[0], r[1]) for r in leaked_pairs(d, e, shard_words=shard).collect()} == expected
     spans = leaked_spans(d, e).collect()
+    by_document = {}
+    for s in sorted(spans, key=lambda s: (s["doc_id"], s["first_word"])):
+        assert by_document.get(s["doc_id"], -1) < s["first_word"]
+        by_document[s["doc_id"]] = s["end_word"]
     assert {(s["doc_id"], i) for s in spans for i in s["items"]} == expected
     texts = dict(docs)
     for s in spans:
