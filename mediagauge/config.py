@@ -15,19 +15,20 @@ DOMAIN_WEIGHTS = {
 DEFAULT_DOMAIN = "generic"
 
 # A topic that contains a keyword belongs to the domain; the first rule that fits counts.
-DOMAIN_KEYWORDS = [
-    ("commerce", "ceny energie nafta benzin inflace nakup obchod trh ekonomika hdp spotreba"),
-    ("civic", "politika volby vlade parlament demokracie protest bezpecnost migrace eu"),
-    ("health", "zdravi nemoc covid vakcina nemocnice leky epidemie psychologie"),
-]
+DOMAIN_KEYWORDS = {
+    "commerce": ["ceny", "energie", "nafta", "benzin", "inflace", "nakup", "obchod", "trh", "ekonomika", "hdp", "spotreba"],
+    "civic": ["politika", "volby", "vlade", "parlament", "demokracie", "protest", "bezpecnost", "migrace", "eu"],
+    "health": ["zdravi", "nemoc", "covid", "vakcina", "nemocnice", "leky", "epidemie", "psychologie"],
+}
 
 # Catalogued topics with their domain and aliases by language.
 TOPIC_SEEDS = [
-    ("energy", "Energy", "commerce", {"cs": "energie, energetika, ceny energii, ceny energií", "en": "energy, energy prices", "de": "energiepreise"}),
-    ("inflation", "Inflation", "commerce", {"cs": "inflace", "en": "inflation, inflation rate", "de": "inflationsrate"}),
-    ("healthcare", "Healthcare", "health", {"cs": "zdravotnictvi, zdravotnictví, zdravi, zdraví", "en": "healthcare, health", "de": "gesundheit"}),
-    ("politics", "Politics", "civic", {"cs": "politika", "en": "politics, policy", "de": "politik"}),
+    {"topic": "energy", "name": "Energy", "domain": "commerce", "cs": ["energie", "energetika", "ceny energii", "ceny energií"], "en": ["energy", "energy prices"], "de": ["energiepreise"]},
+    {"topic": "inflation", "name": "Inflation", "domain": "commerce", "cs": ["inflace"], "en": ["inflation", "inflation rate"], "de": ["inflationsrate"]},
+    {"topic": "healthcare", "name": "Healthcare", "domain": "health", "cs": ["zdravotnictvi", "zdravotnictví", "zdravi", "zdraví"], "en": ["healthcare", "health"], "de": ["gesundheit"]},
+    {"topic": "politics", "name": "Politics", "domain": "civic", "cs": ["politika"], "en": ["politics", "policy"], "de": ["politik"]},
 ]
+SEED_LANGUAGES = ["cs", "en", "de"]
 # Topics whose baselines are seeded, "" meaning all topics.
 SEED_TOPICS = ["", "energie", "inflace", "bydleni", "zdravi", "politika", "ekonomika"]
 
@@ -39,24 +40,71 @@ SEED_PRIORS = {
     "b2b": (0.44, 0.48, 0.21, "conflict"),
 }
 
-# Spellings of a frame; others stand for themselves.
-FRAME_SPELLINGS = {
-    "fear": "alert anxiety concern fear risk threat",
-    "opportunity": "benefit growth opportunity solution",
-    "conflict": "controversy conflict debate dispute",
-    "neutral": "explanatory informational mixed neutral",
+# Frames, and the frame of each spelling; others stand for themselves.
+FRAMES = ["fear", "opportunity", "conflict", "neutral"]
+FRAME_ALIASES = {
+    "alert": "fear",
+    "anxiety": "fear",
+    "concern": "fear",
+    "fear": "fear",
+    "risk": "fear",
+    "threat": "fear",
+    "benefit": "opportunity",
+    "growth": "opportunity",
+    "opportunity": "opportunity",
+    "solution": "opportunity",
+    "controversy": "conflict",
+    "conflict": "conflict",
+    "debate": "conflict",
+    "dispute": "conflict",
+    "explanatory": "neutral",
+    "informational": "neutral",
+    "mixed": "neutral",
+    "neutral": "neutral",
 }
-# The finer frames of clusters, their spellings, and the frame each counts as.
+# The finer frames of clusters with the frame each counts as, and their spellings.
 FRAME_DETAILS = {
-    "fear": ("fear", "alert anxiety concern fear risk threat"),
-    "opportunity": ("opportunity", "benefit growth opportunity solution"),
-    "conflict": ("conflict", "controversy conflict debate dispute"),
-    "neutral": ("neutral", "explanatory informational mixed neutral"),
-    "human_interest": ("neutral", "human human_interest"),
-    "economic_impact": ("neutral", "economic economic_impact"),
-    "policy": ("neutral", "policy regulation regulatory"),
-    "moral_concern": ("fear", "moral moral_concern"),
-    "uncertainty": ("fear", "uncertainty unclear unknown"),
+    "fear": "fear",
+    "opportunity": "opportunity",
+    "conflict": "conflict",
+    "neutral": "neutral",
+    "human_interest": "neutral",
+    "economic_impact": "neutral",
+    "policy": "neutral",
+    "moral_concern": "fear",
+    "uncertainty": "fear",
+}
+FRAME_DETAIL_ALIASES = {
+    "alert": "fear",
+    "anxiety": "fear",
+    "concern": "fear",
+    "fear": "fear",
+    "risk": "fear",
+    "threat": "fear",
+    "benefit": "opportunity",
+    "growth": "opportunity",
+    "opportunity": "opportunity",
+    "solution": "opportunity",
+    "controversy": "conflict",
+    "conflict": "conflict",
+    "debate": "conflict",
+    "dispute": "conflict",
+    "explanatory": "neutral",
+    "informational": "neutral",
+    "mixed": "neutral",
+    "neutral": "neutral",
+    "human": "human_interest",
+    "human_interest": "human_interest",
+    "economic": "economic_impact",
+    "economic_impact": "economic_impact",
+    "policy": "policy",
+    "regulation": "policy",
+    "regulatory": "policy",
+    "moral": "moral_concern",
+    "moral_concern": "moral_concern",
+    "uncertainty": "uncertainty",
+    "unclear": "uncertainty",
+    "unknown": "uncertainty",
 }
 
 # Share of each segment that an outlet's affinity suggests, in the order of SEGMENTS.
@@ -91,6 +139,7 @@ EFFECT_MARGIN = 0.05
 RELEVANCE_THRESHOLD = 0.55
 DUPLICATE_RULES = ((0.97, 0.20), (0.93, 0.60))
 MATCH_GATE = 0.25
+UNMATCHED_COST = 0.5
 MATCH_WEIGHTS = (0.75, 0.15, 0.10)
 RISING, MIXED_STEP = 0.08, 0.03
 MAX_MISSED_RUNS = 3
@@ -101,16 +150,35 @@ YIELD_TARGET = 8
 TITLE_STOPWORDS = "article body headline news story summary title".split()
 BOILERPLATE = ["read more", "cookie", "subscribe", "click here", "sign up", "newsletter"]
 
-
-def frame_aliases() -> dict[str, str]:
-    """Spelling to frame."""
-    return {s: frame for frame, spellings in FRAME_SPELLINGS.items() for s in spellings.split()}
-
-
-def frame_detail_aliases() -> dict[str, str]:
-    """Spelling to finer frame."""
-    return {s: detail for detail, (_, spellings) in FRAME_DETAILS.items() for s in spellings.split()}
-
 # Outlets of the fixed panels by country, and those that a domain adds.
 PANELS = {"CZ": ["irozhlas", "ct24", "idnes", "e15"], "DE": ["tagesschau", "spiegel"], "GLOBAL": ["bbc_world", "bbc", "nytimes", "the_guardian"]}
 PANEL_EXTRAS = {"commerce": ["irozhlas_eko", "e15"], "health": ["irozhlas", "ct24"], "civic": ["irozhlas", "ct24", "idnes"]}
+
+# Spellings of a segment and of a drift type in given briefs.
+SEGMENT_ALIASES = {
+    "young_urban": "young_urban",
+    "young_urban_adults": "young_urban",
+    "young_urban_adult": "young_urban",
+    "young_adults": "young_urban",
+    "family": "family",
+    "families": "family",
+    "family_household": "family",
+    "family_households": "family",
+    "senior": "senior",
+    "seniors": "senior",
+    "senior_citizen": "senior",
+    "senior_citizens": "senior",
+    "b2b": "b2b",
+}
+DRIFT_TYPE_ALIASES = {
+    "concern_spike": "concern_spike",
+    "concern": "concern_spike",
+    "purchase_surge": "purchase_surge",
+    "purchase": "purchase_surge",
+    "avoidance_rise": "avoidance_rise",
+    "avoidance": "avoidance_rise",
+    "frame_shift": "frame_shift",
+    "frame": "frame_shift",
+    "mixed": "mixed",
+    "stable": "stable",
+}

@@ -150,12 +150,12 @@ def normalize_url(c: Column) -> Column:
     return F.concat(F.lower(host), F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""), F.coalesce(F.concat(F.lit("?"), query), F.lit("")))
 
 
-def keyword_domain(c: Column, rules: list[tuple[str, str]], default: str) -> Column:
+def keyword_domain(c: Column, rules: dict[str, list[str]], default: str) -> Column:
     """Domain of the first rule with a keyword in the topic."""
     text, out = F.lower(F.trim(c)), None
-    for domain, words in rules:
+    for domain, words in rules.items():
         test = None
-        for w in words.split():
+        for w in words:
             test = text.contains(w) if test is None else test | text.contains(w)
         out = F.when(test, domain) if out is None else out.when(test, domain)
     return out.otherwise(default)

@@ -162,45 +162,75 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def best_assignment(candidates: DataFrame) -> DataFrame:
-    """One-to-one matches of the candidates: as many as possible, then of least total distance.
+    """One-to-one matches of the candidates (cluster_id, track_id, distance, cost): as many as possible, then of least total cost.
 
-    Only candidates that share a cluster or a track compete, so each component is solved on its own.
+    A match of UNMATCHED_COST or more, and one without a cost, is none. Only candidates that share
+    a cluster or a track compete, so each component is solved on its own; a pair without any
+    rival is taken as it is.
     """
-    candidates = materialize(candidates, "match-candidates")
-    links = candidates.select((F.col("cluster_id") * 2).alias("a"), (F.col("track_id") * 2 + 1).alias("b"))
-    roots = connected_components(links).select(F.col("id").alias("node"), "root")
-    placed = candidates.withColumn("node", F.col("cluster_id") * 2).join(roots, "node")
+    candidates = materialize(candidates.where(F.col("cost") < C.UNMATCHED_COST).select("cluster_id", "track_id", "distance", "cost"), "match-candidates")
+    rivals = [candidates.groupBy(k).agg(F.count("*").alias(f"of_{k}")) for k in ("cluster_id", "track_id")]
+    counted = candidates.join(rivals[0], "cluster_id").join(rivals[1], "track_id").withColumn("alone", (F.col("of_cluster_id") == 1) & (F.col("of_track_id") == 1))
+    counted = materialize(counted.select("cluster_id", "track_id", "distance", "cost", "alone"), "match-rivals")
+    rest = counted.where("not alone")
+    # Nodes of both sides have numbers of their own.
+    node = lambda side, k: F.xxhash64(F.lit(side), F.col(k))
+    roots = connected_components(rest.select(node("cluster", "cluster_id").alias("a"), node("track", "track_id").alias("b"))).select(F.col("id").alias("node"), "root")
+    placed = rest.withColumn("node", node("cluster", "cluster_id")).join(roots, "node")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, r = np.unique(pdf["cluster_id"], return_inverse=True)
         cols, k = np.unique(pdf["track_id"], return_inverse=True)
-        cost = np.full((len(rows), len(cols)), 1e6)
-        cost[r, k] = pdf["distance"]
-        kept = [(rows[i], cols[j], cost[i, j]) for i, j in assign(cost) if cost[i, j] < 1e6]
-        return pd.DataFrame(kept, columns=["cluster_id", "track_id", "distance"])
+        cost, distance = np.full((len(rows), len(cols)), 1e6), np.zeros((len(rows), len(cols)))
+        cost[r, k], distance[r, k] = pdf["cost"], pdf["distance"]
+        kept = [(rows[i], cols[j], distance[i, j], cost[i, j]) for i, j in assign(cost) if cost[i, j] < 1e6]
+        return pd.DataFrame(kept, columns=["cluster_id", "track_id", "distance", "cost"])
 
-    return placed.select("root", "cluster_id", "track_id", "distance").groupBy("root").applyInPandas(solve, "cluster_id bigint, track_id bigint, distance double")
+    solved = placed.select("root", "cluster_id", "track_id", "distance", "cost").groupBy("root").applyInPandas(solve, "cluster_id bigint, track_id bigint, distance double, cost double")
+    return counted.where("alone").select("cluster_id", "track_id", "distance", "cost").union(solved)
 
 
-def lifecycle(tracks: DataFrame, matches: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Tracks after a run: matched ones with blended centroid, missing ones counted, new ones begun.
+#: Values of a track beside its centroid that a matched cluster blends into.
+TRACK_VALUES = [*C.SIGNALS, *[f"seg_{s}" for s in C.SEGMENTS]]
 
-    ``tracks`` have track_id, centroid, sample_count, missed_runs. A match adds the cluster's size
-    and resets missed_runs; a track that misses MAX_MISSED_RUNS runs becomes inactive; an
-    unmatched cluster starts a track that is not learned.
+
+def lifecycle(tracks: DataFrame, matches: DataFrame, clusters: DataFrame, run_id: str = "") -> DataFrame:
+    """Tracks after a run: matched ones blended, missing ones counted, new ones begun.
+
+    ``tracks`` have track_id, centroid, sample_count, missed_runs and, if at hand, the signals and
+    segment shares, frame and label; ``clusters`` the same under cluster_id, with size. A match
+    blends centroid, signals and shares (four decimals), takes over the cluster's frame and label,
+    adds its size and resets missed_runs; a track that misses MAX_MISSED_RUNS runs becomes
+    inactive; an unmatched cluster starts a track that is not learned, numbered by a hash of the
+    run and the cluster.
     """
-    matched = matches.select("cluster_id", "track_id").join(clusters.select("cluster_id", F.col("centroid").alias("now"), "size"), "cluster_id")
-    joined = tracks.join(matched, "track_id", "left")
+    values = [c for c in TRACK_VALUES if c in tracks.columns and c in clusters.columns]
+    words = [c for c in ("frame", "label") if c in tracks.columns and c in clusters.columns]
+    now = clusters.select("cluster_id", F.col("centroid").alias("now"), "size", *[F.col(c).alias(f"now_{c}") for c in [*values, *words]])
+    joined = tracks.join(matches.select("cluster_id", "track_id").join(now, "cluster_id"), "track_id", "left")
     blended = F.zip_with("centroid", "now", lambda a, b: C.EMA_OLD * a + C.EMA_NEW * b)
     norm = F.sqrt(F.aggregate(blended, F.lit(0.0), lambda s, x: s + x * x))
     hit = F.col("cluster_id").isNotNull()
     kept = joined.select(
         "track_id",
-        F.when(hit, F.transform(blended, lambda x: x / norm)).otherwise(F.col("centroid")).alias("centroid"),
+        F.when(hit, F.transform(blended, lambda x: F.try_divide(x, norm))).otherwise(F.col("centroid")).alias("centroid"),
         (F.col("sample_count") + F.coalesce("size", F.lit(0))).alias("sample_count"),
         F.when(hit, 0).otherwise(F.col("missed_runs") + 1).alias("missed_runs"),
         F.when(hit, "matched").otherwise("missing").alias("match_type"),
+        *[F.when(hit, F.round(C.EMA_OLD * F.coalesce(c, F.lit(0.0)) + C.EMA_NEW * F.coalesce(f"now_{c}", F.lit(0.0)), 4)).otherwise(F.col(c)).alias(c) for c in values],
+        *[F.when(hit, F.coalesce(f"now_{c}", c)).otherwise(F.col(c)).alias(c) for c in words],
     )
     fresh = clusters.join(matches.select("cluster_id"), "cluster_id", "left_anti")
-    new = fresh.select((F.col("cluster_id") + F.lit(1_000_000_000)).alias("track_id"), "centroid", F.col("size").alias("sample_count"), F.lit(0).alias("missed_runs"), F.lit("new").alias("match_type"))
+    new = fresh.select(F.xxhash64(F.lit(run_id), "cluster_id").alias("track_id"), "centroid", F.col("size").alias("sample_count"), F.lit(0).alias("missed_runs"), F.lit("new").alias("match_type"), *values, *words)
     return kept.unionByName(new).withColumn("active", F.col("missed_runs") < C.MAX_MISSED_RUNS).withColumn("is_learned", (F.col("match_type") != "new") & (F.col("sample_count") >= C.MIN_BASELINE_ARTICLES))
+
+
+def previous_observations(history: DataFrame, current_run: str) -> DataFrame:
+    """``track_id, run_id, cluster_id, member_count``: of every track its latest observation of another run.
+
+    ``history`` has track_id, run_id, cluster_id, member_count, computed_at and id; observations
+    without a cluster do not count, a null member_count is 0, of equal times the larger id counts.
+    """
+    rows = history.where((F.col("run_id") != current_run) & F.col("cluster_id").isNotNull() & F.col("track_id").isNotNull())
+    newest = rows.groupBy("track_id").agg(F.max_by(F.struct("run_id", "cluster_id", "member_count"), F.struct("computed_at", "id")).alias("r"))
+    return newest.select("track_id", "r.run_id", "r.cluster_id", F.coalesce("r.member_count", F.lit(0)).alias("member_count"))

@@ -84,12 +84,23 @@ def accuracy_cube(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     """Support, correct and accuracy overall, per group, per field and per annotator and field, in one pass."""
     both = gold.select("article_id", "field_name", F.col("label").alias("expected")).join(predictions, ["article_id", "field_name"]).where("expected is not null and label is not null")
     both = both.withColumn("field_group", field_group()).withColumn("hit", (F.col("expected") == F.col("label")).cast("bigint"))
-    both.createOrReplaceTempView("__evaluated")
-    return both.sparkSession.sql(
-        """select coalesce(field_group, '(all)') as field_group, coalesce(field_name, '(all)') as field_name, coalesce(annotator, '(all)') as annotator,
-           count(*) as support, sum(hit) as correct, round(sum(hit) / count(*), 4) as accuracy
-           from __evaluated group by grouping sets ((), (field_group), (field_group, field_name), (field_group, field_name, annotator))"""
-    )
+    keys = ["field_group", "field_name", "annotator"]
+    cube = both.groupingSets([keys[:n] for n in range(4)], *keys).agg(F.count("*").alias("support"), F.sum("hit").alias("correct"))
+    named = [F.coalesce(k, F.lit("(all)")).alias(k) for k in keys]
+    return cube.select(*named, "support", "correct", F.round(F.col("correct") / F.col("support"), 4).alias("accuracy"))
+
+
+def topic_accuracy(gold: DataFrame, predictions: DataFrame, topics: DataFrame) -> DataFrame:
+    """Support, correct and accuracy per topic and field, per topic, and per field; ``topics`` has article_id and topic, once each.
+
+    Items of articles without a topic count under (missing).
+    """
+    both = gold.select("article_id", "field_name", F.col("label").alias("expected")).join(predictions, ["article_id", "field_name"]).where("expected is not null and label is not null")
+    both = both.join(topics.select("article_id", F.col("topic").alias("of_topic")), "article_id", "left").withColumn("topic", F.coalesce("of_topic", F.lit("(missing)")))
+    both = both.withColumn("hit", (F.col("expected") == F.col("label")).cast("bigint"))
+    cube = both.groupingSets([["topic", "field_name"], ["topic"], ["field_name"]], "topic", "field_name").agg(F.count("*").alias("support"), F.sum("hit").alias("correct"))
+    named = [F.coalesce(k, F.lit("(all)")).alias(k) for k in ("topic", "field_name")]
+    return cube.select(*named, "support", "correct", F.round(F.col("correct") / F.col("support"), 4).alias("accuracy"))
 
 
 def pairwise_agreement(votes: DataFrame) -> DataFrame:

@@ -62,8 +62,8 @@ def normalized_answers(answers: DataFrame, domain: str) -> DataFrame:
     defaults = dict(zip(C.SIGNALS, (0.5, 0.0, 0.0), strict=True))
     used = C.DOMAIN_WEIGHTS[domain]
     values = [(clamp(F.col(f"a.{k}"), default=defaults[k]) if used[k] else F.lit(0.0)).alias(k) for k in C.SIGNALS]
-    frame = canonical_frame(F.col("a.dominant_frame"), C.frame_aliases())
-    known = F.when(frame.isin(*C.FRAME_SPELLINGS), frame).otherwise("neutral")
+    frame = canonical_frame(F.col("a.dominant_frame"), C.FRAME_ALIASES)
+    known = F.when(frame.isin(*C.FRAMES), frame).otherwise("neutral")
     shares = softmax([clamp(F.col(f"a.seg_{s}_relevance"), default=0.25) for s in C.SEGMENTS])
     priors = F.create_map(*[x for a, v in C.AFFINITY_PRIORS.items() for x in (F.lit(a), F.array(*[F.lit(float(p)) for p in v]))])
     prior = F.coalesce(F.try_element_at(priors, F.coalesce("affinity_tag", F.lit("mainstream"))), F.array(*[F.lit(float(p)) for p in C.AFFINITY_PRIORS["mainstream"]]))

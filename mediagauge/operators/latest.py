@@ -62,12 +62,12 @@ def null_safe_scope(left: DataFrame, right: DataFrame, keys: list[str], how: str
 def alias_table(spark) -> DataFrame:
     """Catalogued aliases: ``alias_key, canonical_topic_id, language, pos``."""
     rows, pos = [], 0
-    for topic, _, _, by_language in C.TOPIC_SEEDS:
-        rows.append((topic, topic, None, pos))
-        for language, names in by_language.items():
-            for name in names.split(", "):
+    for seed in C.TOPIC_SEEDS:
+        rows.append((seed["topic"], seed["topic"], None, pos))
+        for language in C.SEED_LANGUAGES:
+            for name in seed[language]:
                 pos += 1
-                rows.append((name, topic, language, pos))
+                rows.append((name, seed["topic"], language, pos))
     df = literal_table(spark, rows, "alias string, canonical_topic_id string, language string, pos int")
     return df.withColumn("alias_key", normalize_topic(F.col("alias"))).drop("alias")
 

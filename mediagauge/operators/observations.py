@@ -98,13 +98,16 @@ def direction(match_type: Column, deltas: list[Column], frame_shift: Column) ->
 def observations(current: DataFrame, tracks: DataFrame, matches: DataFrame, domain: str) -> DataFrame:
     """One row per matched, new or missing story.
 
-    ``current``: cluster_id and cluster signals; ``tracks``: track_id and the same columns;
+    ``current``: cluster_id and cluster signals; ``tracks``: track_id, the same columns, and
+    sample_count and is_learned of the track (its members and whether these suffice, if absent);
     ``matches``: cluster_id, track_id, distance. A matched one has deltas, 0.7 signal drift + 0.3
     centroid distance as magnitude; a new or missing one has no deltas and magnitude 0.
     """
     columns = ["member_count", "mean_strength", *C.SIGNALS, *SEG, "frame", "label"]
     now = current.select("cluster_id", *columns)
-    then = tracks.select("track_id", *[F.col(c).alias(f"base_{c}") for c in columns])
+    samples = F.col("sample_count") if "sample_count" in tracks.columns else F.col("member_count")
+    learned = F.col("is_learned") if "is_learned" in tracks.columns else samples >= C.MIN_BASELINE_ARTICLES
+    then = tracks.select("track_id", samples.alias("base_samples"), learned.alias("base_learned"), *[F.col(c).alias(f"base_{c}") for c in columns])
     matched = matches.select("cluster_id", "track_id", "distance")
     rows = now.join(matched, "cluster_id", "full").join(then, "track_id", "full")
     kind = F.when(F.col("cluster_id").isNull(), "missing").when(F.col("track_id").isNull(), "new").otherwise("matched")
@@ -119,7 +122,7 @@ def observations(current: DataFrame, tracks: DataFrame, matches: DataFrame, doma
     rows = rows.withColumn("signal_drift", F.round(drift, 4))
     rows = rows.withColumn("drift_magnitude", F.when(both, F.round(0.7 * F.col("signal_drift") + 0.3 * F.col("distance"), 4)).otherwise(0.0))
     shift = both & (F.col("frame") != F.col("base_frame"))
-    conf = observation_confidence(F.coalesce("member_count", "base_member_count"), F.coalesce("mean_strength", "base_mean_strength"), F.coalesce("base_member_count", F.lit(0)), F.coalesce("base_member_count", F.lit(0)) >= C.MIN_BASELINE_ARTICLES)
+    conf = observation_confidence(F.coalesce("member_count", "base_member_count"), F.coalesce("mean_strength", "base_mean_strength"), F.coalesce("base_samples", F.lit(0)), F.coalesce("base_learned", F.lit(False)))
     return rows.withColumns({"frame_shift": F.coalesce(shift, F.lit(False)), "confidence": conf}).withColumn("direction", direction(F.col("match_type"), weighted, F.col("frame_shift")))
 
 

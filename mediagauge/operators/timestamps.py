@@ -269,7 +269,7 @@ def parse_texts(texts: list[str | None], zones: list[str | None], countries: lis
     for i, text in enumerate(texts):
         t = "" if text is None else (text if text.isascii() else unicodedata.normalize("NFC", text)).strip(" \t\r\n\f\v ﻿​")
         trimmed.append(t)
-        if t and len(t) <= 200:
+        if t:
             groups.setdefault(mask_of(t), []).append(i)
     for mask, rows in groups.items():
         parser = parser_for(mask)
@@ -292,7 +292,7 @@ def normalized_instants(articles: DataFrame, feeds: DataFrame) -> DataFrame:
     """``article_id, published_us``: one row per article whose published_at denotes an instant.
 
     Repeated deliveries give one row, the earliest instant if they differ. Null ids, null or
-    empty texts, unknown zones and texts over 200 characters give no row; other columns of
+    empty texts and unknown zones give no row; other columns of
     either table are ignored, so they may have any name.
     """
     slim = articles.select("article_id", "outlet", "published_at").where("article_id is not null and published_at is not null")

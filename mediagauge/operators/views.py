@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediagauge.config import SEGMENTS, SIGNALS, frame_aliases
+from mediagauge.config import FRAME_ALIASES, SEGMENTS, SIGNALS
 from mediagauge.functions.text import canonical_frame
 
 
@@ -48,7 +48,7 @@ def signal_view(signals: DataFrame) -> DataFrame:
     """The latest version of every signal, frames canonical; of equal times the larger values count."""
     fields = ["extracted_at", "run_id", "article_id", "outlet", "topic", "canonical_topic_id", "topic_relevance_score", *SIGNALS, "dominant_frame", *[f"seg_{s}" for s in SEGMENTS]]
     latest = signals.where("signal_id is not null").groupBy("signal_id").agg(F.max(F.struct(*fields)).alias("r")).select("signal_id", "r.*")
-    framed = latest.withColumn("frame", canonical_frame(F.col("dominant_frame"), frame_aliases()))
+    framed = latest.withColumn("frame", canonical_frame(F.col("dominant_frame"), FRAME_ALIASES))
     return framed.withColumn("outlet_lc", F.lower(F.trim("outlet")))
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from mediagauge import config as C
 from mediagauge.operators import clusters as K
 from mediagauge.operators import dedupe, density
+from mediagauge.operators import observations as O
 from mediagauge.operators.latest import latest_embedding
-from mediagauge.operators.views import article_view
+from mediagauge.operators.views import article_view, signal_view
+from mediagauge.plans import sqltext as S
 from mediagauge.plans.texts import _collapse, _one, _words
 from mediagauge.session import materialize
 from mediagauge.tables import table
@@ -144,16 +146,66 @@ def track_match_candidates(spark: SparkSession, root: str) -> DataFrame:
     return K.match_candidates(*_runs(spark, root))
 
 
+def _signals(spark: SparkSession, root: str) -> DataFrame:
+    articles = article_view(table(spark, root, "articles"), ("title",))
+    return O.cluster_signals(K.members(table(spark, root, "cluster_memberships")), signal_view(table(spark, root, "signals")), articles)
+
+
+def _told(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Signals of the clusters of the second run, and of the first one's as tracks."""
+    rows = materialize(_signals(spark, root), "cluster-signals")
+    before = rows.where(F.col("run_id").endswith("-0")).drop("run_id").withColumnRenamed("cluster_id", "track_id")
+    return rows.where(F.col("run_id").endswith("-1")).drop("run_id"), before
+
+
+def _costs(candidates: DataFrame, told: tuple[DataFrame, DataFrame]) -> DataFrame:
+    columns = [*C.SIGNALS, "label"]
+    before = told[1].select("track_id", *[F.col(c).alias(f"base_{c}") for c in columns])
+    pairs = candidates.join(told[0].select("cluster_id", *columns), "cluster_id").join(before, "track_id")
+    return O.pair_metrics(pairs, S.DOMAIN).select("cluster_id", "track_id", "distance", "signal_distance", "label_penalty", "cost")
+
+
+def _matches(spark: SparkSession, root: str, told: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return materialize(K.best_assignment(_costs(K.match_candidates(*_runs(spark, root)), told)), "matches")
+
+
+def pair_costs(spark: SparkSession, root: str) -> DataFrame:
+    """Costs of the candidate matches."""
+    return _costs(K.match_candidates(*_runs(spark, root)), _told(spark, root))
+
+
 def track_assignment(spark: SparkSession, root: str) -> DataFrame:
-    """Optimal one-to-one matches."""
-    return K.best_assignment(K.match_candidates(*_runs(spark, root)))
+    """One-to-one matches of least total cost."""
+    return K.best_assignment(pair_costs(spark, root))
+
+
+def certain_matches(spark: SparkSession, root: str) -> DataFrame:
+    """Matches of clusters and tracks that have one candidate only."""
+    pairs = materialize(pair_costs(spark, root), "pair-costs")
+    alone = [pairs.groupBy(k).agg(F.count("*").alias("n")).where("n = 1").select(k) for k in ("cluster_id", "track_id")]
+    found = K.best_assignment(pairs).join(alone[0], "cluster_id", "left_semi").join(alone[1], "track_id", "left_semi")
+    return found.select("cluster_id", "track_id", "distance", "cost")
 
 
 def track_lifecycle(spark: SparkSession, root: str) -> DataFrame:
     """Tracks after the second run, by kind."""
     now, tracks = _runs(spark, root)
-    matches = materialize(K.best_assignment(K.match_candidates(now, tracks)), "matches")
-    return K.lifecycle(tracks, matches, now).groupBy("match_type", "active", "is_learned").agg(F.count("*").alias("tracks"), F.sum("sample_count").alias("samples"))
+    told = _told(spark, root)
+    values = [*K.TRACK_VALUES, "frame", "label"]
+    known = tracks.join(told[1].select("track_id", *values), "track_id", "left")
+    fresh = now.join(told[0].select("cluster_id", *values), "cluster_id", "left")
+    after = K.lifecycle(known, _matches(spark, root, told), fresh, "-1")
+    return after.groupBy("match_type", "active", "is_learned").agg(F.count("*").alias("tracks"), F.sum("sample_count").alias("samples"))
+
+
+def previous_observations(spark: SparkSession, root: str) -> DataFrame:
+    """Of every cluster number the latest run before the newest one of its mode that had it, with its members."""
+    sizes = K.members(table(spark, root, "cluster_memberships")).groupBy(*K.KEY).agg(F.countDistinct("article_id").alias("member_count"))
+    times = table(spark, root, "cluster_memberships").where("run_id is not null").groupBy("run_id").agg(F.max("created_at").alias("computed_at"))
+    mode = F.regexp_extract("run_id", "^(.*)-[^-]*$", 1)
+    history = sizes.join(times, "run_id").select(F.concat_ws(":", mode, "cluster_id").alias("track_id"), "run_id", "cluster_id", "member_count", "computed_at", F.col("run_id").alias("id"))
+    newest = times.agg(F.max_by("run_id", F.struct("computed_at", "run_id"))).first()[0]
+    return K.previous_observations(history, newest or "")
 
 
 def _scoped_vectors(spark: SparkSession, root: str) -> DataFrame:
@@ -187,6 +239,16 @@ sz as (select run_id, cluster_id, count(*) as size from mv group by all),
 cen as (select run_id, cluster_id, size, list_transform(mean, lambda x: x / sqrt(list_sum(list_transform(mean, lambda y: y * y)))) as centroid from cen0 join sz using (run_id, cluster_id))"""
 _COS = """cosines as (select mv.run_id, mv.cluster_id, article_id, embedding_id, strength,
   list_cosine_similarity(list_transform(vector, lambda x: x::double), centroid) as cosine from mv join cen using (run_id, cluster_id))"""
+CLUSTER_SIGNALS = f"""{S.SIG}, {_one("title")}, {_MEM},
+  lat as (select * from sig where article_id is not null qualify row_number() over (partition by article_id order by extracted_at desc nulls last, signal_id desc) = 1),
+  mm as (select run_id, cluster_id, article_id, max(strength) as strength from mem group by all),
+  jj as (select mm.*, {", ".join(f"case when isnan({k}) then null else {k} end as {k}" for k in C.SIGNALS)}, frame, title from mm left join lat using (article_id) left join one using (article_id)),
+  vv as (select run_id, cluster_id, frame, count(*) as n from jj where frame is not null group by all),
+  ff as (select run_id, cluster_id, arg_min(frame, row(-n, frame)) as frame from vv group by all),
+  bb as (select run_id, cluster_id, count(*) as member_count, {", ".join(f"round(avg({k}) + 1e-9, 4) as {k}" for k in C.SIGNALS)}, arg_max(title, row(coalesce(strength, -1.0), article_id)) as title from jj group by all),
+  told as (select run_id, cluster_id, member_count, {", ".join(C.SIGNALS)}, coalesce(frame, 'neutral') as frame,
+    nullif(trim(array_to_string(list_filter(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')[1:8], ' ')[1:80]), '') as label
+    from bb left join ff using (run_id, cluster_id))"""
 _LAB = "select article_id, max(coalesce(cluster_id, -1)) as label from cluster_memberships where run_id like '%{s}' and article_id is not null group by 1"
 _SURV = f"""b as ({_LAB.format(s="-0")}), t as ({_LAB.format(s="-1")}),
   n as (select b.label, t.label as then_label, count(*) as n from b join t using (article_id) where b.label >= 0 group by all),
@@ -241,9 +303,32 @@ SQL = {
     "cluster_survival": f"with {_SURV} select * from s",
     "survival_summary": f"""with {_SURV} select round(quantile_cont(survival, 0.5), 4) as median, round(quantile_cont(survival, 0.1), 4) as p10, round(quantile_cont(survival, 0.9), 4) as p90,
         count(*) as clusters from s""",
-    "track_match_candidates": f"""with {_MEM}, {_VEC}, {_CEN} select x.cluster_id, y.cluster_id as track_id, round(1 - list_dot_product(x.centroid, y.centroid), 4) as distance
+    "track_match_candidates": f"""with {_MEM}, {_VEC}, {_CEN} select x.cluster_id, y.cluster_id as track_id, round(greatest(0.0, 1 - list_dot_product(x.centroid, y.centroid)), 4) as distance
         from cen x join cen y on x.run_id like '%-1' and y.run_id like '%-0' where round(1 - list_dot_product(x.centroid, y.centroid), 4) <= 0.25""",
 }
+_NORM = lambda c: rf"trim(regexp_replace(lower(regexp_replace(coalesce({c}, ''), '[^\p{{L}}\p{{N}}]', ' ', 'g')), '\s+', ' ', 'g'))"
+_W = C.DOMAIN_WEIGHTS[S.DOMAIN]
+_vector = lambda a: "[" + ", ".join(f"coalesce({a}.{k}, 0.0) * {_W[k]}" for k in C.SIGNALS) + "]"
+_COSTS = rf"""with {CLUSTER_SIGNALS}, {_VEC}, {_CEN},
+  near as (select x.cluster_id, y.cluster_id as track_id, round(greatest(0.0, 1 - list_dot_product(x.centroid, y.centroid)), 4) as distance
+    from cen x join cen y on x.run_id like '%-1' and y.run_id like '%-0' where round(1 - list_dot_product(x.centroid, y.centroid), 4) <= 0.25),
+  met as (select cluster_id, track_id, distance, {_vector("x")} as v, {_vector("y")} as w, {_NORM("x.label")} as l, {_NORM("y.label")} as m
+    from near join told x using (cluster_id) join told y on y.cluster_id = track_id where x.run_id like '%-1' and y.run_id like '%-0'),
+  pen as (select *, case when list_dot_product(v, v) = 0 or list_dot_product(w, w) = 0 then 1.0
+      else round(greatest(0.0, least(1.0, 1 - list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w)))), 4) end as signal_distance,
+    case when l = '' or m = '' then 1.0 when l = m then 0.0 when contains(l, m) or contains(m, l) then 0.25
+      else round(1.0 - len(list_intersect(string_split(l, ' '), string_split(m, ' '))) / len(list_distinct(string_split(l, ' ') || string_split(m, ' ')))::double, 4) end as label_penalty from met),
+  costs as (select cluster_id, track_id, distance, signal_distance, label_penalty,
+    round({C.MATCH_WEIGHTS[0]} * distance + {C.MATCH_WEIGHTS[1]} * signal_distance + {C.MATCH_WEIGHTS[2]} * label_penalty, 4) as cost from pen)"""
+SQL["pair_costs"] = _COSTS + " select * from costs"
+SQL["certain_matches"] = _COSTS + """ select cluster_id, track_id, distance, cost from costs
+  where cluster_id in (select cluster_id from costs group by 1 having count(*) = 1) and track_id in (select track_id from costs group by 1 having count(*) = 1)"""
+SQL["cluster_signals"] = f"with {CLUSTER_SIGNALS} select run_id, cluster_id, member_count, {', '.join(C.SIGNALS)}, frame, label from told"
+SQL["previous_observations"] = f"""with {_MEM}, sizes as (select run_id, cluster_id, count(distinct article_id) as member_count from mem group by all),
+  times as (select run_id, max(created_at) as computed_at from cluster_memberships where run_id is not null group by 1),
+  newest as (select run_id from times order by computed_at desc, run_id desc limit 1)
+  select regexp_extract(run_id, '^(.*)-[^-]*$', 1) || ':' || cluster_id as track_id, run_id, cluster_id, member_count from sizes join times using (run_id)
+  where run_id <> (select run_id from newest) qualify row_number() over (partition by track_id order by computed_at desc, run_id desc) = 1"""
 _SCOPED = {
     "canonical_topic_id as topic, date_trunc('year', fetched_at at time zone 'UTC') as period": "0 as topic, 0 as period",
     " where canonical_topic_id is not null and fetched_at is not null": "",
@@ -257,6 +342,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         dup_edges, dup_representatives, dedupe_stats, dup_edges_all, dup_representatives_all, dedupe_stats_all, cluster_sizes, cluster_centroid, cluster_coherence, cluster_exemplars, cluster_fingerprints, noise_rates,
-        cluster_agreement, cluster_survival, survival_summary, track_match_candidates, track_assignment, track_lifecycle, density_clusters, stability_report,
+        cluster_agreement, cluster_survival, survival_summary, track_match_candidates, pair_costs, track_assignment, certain_matches, track_lifecycle, previous_observations, density_clusters, stability_report,
     )
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediagauge import config as C
 from mediagauge.operators import evaluation as E
-from mediagauge.operators.views import signal_view
+from mediagauge.operators.views import article_view, signal_view
 from mediagauge.plans import sqltext as S
 from mediagauge.session import materialize
 from mediagauge.tables import table
@@ -48,6 +48,12 @@ def eval_grouping_sets(spark: SparkSession, root: str) -> DataFrame:
     return E.accuracy_cube(_gold(spark, root), _votes(spark, root))
 
 
+def eval_topic_fields(spark: SparkSession, root: str) -> DataFrame:
+    """Accuracy per topic of the articles and field."""
+    topics = article_view(table(spark, root, "articles")).select("article_id", F.col("canonical_topic_id").alias("topic"))
+    return E.topic_accuracy(_gold(spark, root), _votes(spark, root), topics)
+
+
 def annotator_agreement(spark: SparkSession, root: str) -> DataFrame:
     """Agreement of every two annotators."""
     return E.pairwise_agreement(_votes(spark, root))
@@ -102,6 +108,10 @@ SQL = {
         select coalesce(field_group, '(all)') as field_group, coalesce(field_name, '(all)') as field_name, coalesce(annotator, '(all)') as annotator,
           count(*) as support, sum(hit)::bigint as correct, round(sum(hit)::double / count(*), 4) as accuracy
         from x group by grouping sets ((), (field_group), (field_group, field_name), (field_group, field_name, annotator))""",
+    "eval_topic_fields": f"""with {_VOTES}, {S.ARTICLE}, x as (select coalesce(canonical_topic_id, '(missing)') as topic, field_name, (expected = predicted)::int as hit
+          from both_ left join art using (article_id))
+        select coalesce(topic, '(all)') as topic, coalesce(field_name, '(all)') as field_name, count(*) as support, sum(hit)::bigint as correct, round(sum(hit)::double / count(*), 4) as accuracy
+        from x group by grouping sets ((topic, field_name), (topic), (field_name))""",
     "annotator_agreement": f"""with {_VOTES} select a.annotator as left_annotator, b.annotator as right_annotator, count(*) as items, round(avg((a.label = b.label)::int::double), 4) as agreement
         from votes a join votes b using (article_id, field_name) where a.annotator < b.annotator and a.label is not null and b.label is not null group by all""",
     "vote_patterns": f"""with {_VOTES}, c as (select article_id, field_name, label, count(*) as n from votes where annotator in ({_MODELS}) and label is not null group by all),
@@ -109,4 +119,4 @@ SQL = {
     "eval_gaps": f"""with {_VOTES}, g as (select distinct article_id, field_name from gold where label is not null), v as (select distinct article_id, field_name from votes where label is not null)
         select (select count(*) from (select * from g except select * from v)) as missing, (select count(*) from (select * from v except select * from g)) as unexpected""",
 }
-QUERIES = {f.__name__: f for f in (label_buckets, eval_confusion, eval_metrics, eval_by_annotator, eval_grouping_sets, annotator_agreement, vote_patterns, eval_gaps)}
+QUERIES = {f.__name__: f for f in (label_buckets, eval_confusion, eval_metrics, eval_by_annotator, eval_grouping_sets, eval_topic_fields, annotator_agreement, vote_patterns, eval_gaps)}

@@ -9,6 +9,7 @@ from mediagauge import config as C
 from mediagauge.operators import mix, profiles
 from mediagauge.operators.views import Scope, article_view, between, in_topic, scope_filter, signal_view, trailing
 from mediagauge.plans import sqltext as S
+from mediagauge.session import materialize
 from mediagauge.tables import table
 
 REFERENCE = ("2025-05-02 00:00:00", "2025-06-01 00:00:00")
@@ -21,7 +22,9 @@ def _topical(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _current(spark: SparkSession, root: str) -> DataFrame:
-    return _topical(spark, root).where(trailing("extracted_at", S.AS_OF, S.DAYS))
+    raw = table(spark, root, "signals")
+    # The latest version of a signal lies after a point in time if any does, so the window applies at the scan.
+    return in_topic(signal_view(raw.where(trailing("extracted_at", S.AS_OF, S.DAYS))), raw, S.TOPIC)
 
 
 def _priors(spark: SparkSession) -> DataFrame:
@@ -73,8 +76,10 @@ def panel_profile(spark: SparkSession, root: str) -> DataFrame:
 def source_normalized_drift(spark: SparkSession, root: str) -> DataFrame:
     """Drift with and without the outlet mix."""
     base = _priors(spark)
-    raw = profiles.drift_from(profiles.weighted_profiles(_topical(spark, root)), base, S.DOMAIN)
-    panel = _panel(spark, root)
+    # Both profiles read the same signals; written once, the versions are compared once.
+    topical = materialize(_topical(spark, root).select("article_id", "outlet_lc", *C.SIGNALS, *[f"seg_{s}" for s in C.SEGMENTS], "frame"), "topical-signals")
+    raw = profiles.drift_from(profiles.weighted_profiles(topical), base, S.DOMAIN)
+    panel = mix.panel_profile(mix.outlet_profiles(topical), PANEL)
     balanced = profiles.drift_from(panel, base, S.DOMAIN).join(panel.select("segment", "missing"), "segment")
     return mix.normalized_drift(raw, balanced)
 
@@ -95,8 +100,8 @@ def baseline_ema(spark: SparkSession, root: str) -> DataFrame:
 def confidence_table(spark: SparkSession, root: str) -> DataFrame:
     """Confidence and status per topic and segment, for the learned baselines."""
     learned = baseline_ema(spark, root).select("canonical_topic_id", "segment", "sample_count", "is_learned")
-    signals = signal_view(table(spark, root, "signals")).where("canonical_topic_id is not null")
-    now = profiles.weighted_profiles(signals.where(trailing("extracted_at", S.AS_OF, S.DAYS)), ["canonical_topic_id"])
+    recent = signal_view(table(spark, root, "signals").where(trailing("extracted_at", S.AS_OF, S.DAYS)))
+    now = profiles.weighted_profiles(recent.where("canonical_topic_id is not null"), ["canonical_topic_id"])
     joined = now.select("canonical_topic_id", "segment", "article_count").join(learned, ["canonical_topic_id", "segment"], "left")
     known = F.coalesce("is_learned", F.lit(False))
     scored = joined.withColumn("confidence", profiles.confidence(F.col("article_count"), F.coalesce("sample_count", F.lit(0)), known))

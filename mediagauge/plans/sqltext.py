@@ -18,7 +18,7 @@ def case(column: str, table: dict[str, str], default: str) -> str:
 _FIELDS = ["extracted_at", "run_id", "article_id", "outlet", "topic", "canonical_topic_id", "topic_relevance_score", *C.SIGNALS, "dominant_frame", *[f"seg_{s}" for s in C.SEGMENTS]]
 _KEY = "replace(replace(lower(trim(dominant_frame)), '-', '_'), ' ', '_')"
 SIG = f"""sig as (
-  select *, case when dominant_frame is null or dominant_frame = '' then 'neutral' else {case(_KEY, C.frame_aliases(), _KEY)} end as frame,
+  select *, case when dominant_frame is null or dominant_frame = '' then 'neutral' else {case(_KEY, C.FRAME_ALIASES, _KEY)} end as frame,
     lower(trim(outlet)) as outlet_lc
   from (select *, row_number() over (partition by signal_id order by {", ".join(f + " desc nulls last" for f in _FIELDS)}) as version
         from signals where signal_id is not null) where version = 1)"""

@@ -17,27 +17,17 @@ from mediagauge.plans import profiles as PP
 from mediagauge.plans import selection as PS
 from mediagauge.plans import sqltext as S
 from mediagauge.plans.texts import _KEYED, _SEEDS, _one
-from mediagauge.session import materialize
 from mediagauge.tables import table
 
 
-def _signals(spark: SparkSession, root: str) -> DataFrame:
-    articles = article_view(table(spark, root, "articles"), ("title",))
-    return O.cluster_signals(K.members(table(spark, root, "cluster_memberships")), signal_view(table(spark, root, "signals")), articles)
-
-
 def cluster_signals(spark: SparkSession, root: str) -> DataFrame:
     """Signals of every cluster."""
-    return _signals(spark, root).select(*O.KEY, "member_count", *C.SIGNALS, "frame", "label")
+    return PC._signals(spark, root).select(*O.KEY, "member_count", *C.SIGNALS, "frame", "label")
 
 
 def _observed(spark: SparkSession, root: str) -> DataFrame:
-    now, tracks = PC._runs(spark, root)
-    matches = materialize(K.best_assignment(K.match_candidates(now, tracks)), "matches")
-    rows = materialize(_signals(spark, root), "cluster-signals")
-    current = rows.where(F.col("run_id").endswith("-1")).drop("run_id")
-    before = rows.where(F.col("run_id").endswith("-0")).drop("run_id").withColumnRenamed("cluster_id", "track_id")
-    return O.observations(current, before, matches, S.DOMAIN)
+    told = PC._told(spark, root)
+    return O.observations(*told, PC._matches(spark, root, told), S.DOMAIN)
 
 
 def cluster_observations(spark: SparkSession, root: str) -> DataFrame:
@@ -55,16 +45,6 @@ def top_observations(spark: SparkSession, root: str) -> DataFrame:
     return O.select_observations(_observed(spark, root)).select("cluster_id", "track_id", "match_type", "rank", "drift_magnitude")
 
 
-def pair_costs(spark: SparkSession, root: str) -> DataFrame:
-    """Costs of the candidate matches."""
-    rows = materialize(_signals(spark, root), "cluster-signals")
-    columns = [*C.SIGNALS, "label"]
-    current = rows.where(F.col("run_id").endswith("-1")).select("cluster_id", *columns)
-    before = rows.where(F.col("run_id").endswith("-0")).select(F.col("cluster_id").alias("track_id"), *[F.col(c).alias(f"base_{c}") for c in columns])
-    pairs = K.match_candidates(*PC._runs(spark, root)).join(current, "cluster_id").join(before, "track_id")
-    return O.pair_metrics(pairs, S.DOMAIN).select("cluster_id", "track_id", "distance", "signal_distance", "label_penalty", "cost")
-
-
 def cue_signals(spark: SparkSession, root: str) -> DataFrame:
     """Signals that the built-in extractor gives the articles, per frame."""
     articles = article_view(table(spark, root, "articles"), ("title", "summary", "body"))
@@ -95,20 +75,9 @@ def brief_row(spark: SparkSession, root: str) -> DataFrame:
     return B.brief(PP.segment_drift(spark, root), S.TOPIC)
 
 
-_CS = f"""with {S.SIG}, {_one("title")}, {PC._MEM},
-  lat as (select * from sig where article_id is not null qualify row_number() over (partition by article_id order by extracted_at desc nulls last, signal_id desc) = 1),
-  m as (select run_id, cluster_id, article_id, max(strength) as strength from mem group by all),
-  j as (select m.*, {", ".join(f"case when isnan({k}) then null else {k} end as {k}" for k in C.SIGNALS)}, frame, title from m left join lat using (article_id) left join one using (article_id)),
-  v as (select run_id, cluster_id, frame, count(*) as n from j where frame is not null group by all),
-  f as (select run_id, cluster_id, arg_min(frame, row(-n, frame)) as frame from v group by all),
-  b as (select run_id, cluster_id, count(*) as member_count, {", ".join(f"round(avg({k}) + 1e-9, 4) as {k}" for k in C.SIGNALS)}, arg_max(title, row(coalesce(strength, -1.0), article_id)) as title from j group by all)
-select run_id, cluster_id, member_count, {", ".join(C.SIGNALS)}, coalesce(frame, 'neutral') as frame,
-  nullif(trim(array_to_string(list_filter(string_split(trim(regexp_replace(title, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')[1:8], ' ')[1:80]), '') as label
-from b left join f using (run_id, cluster_id)"""
 _rank = "row_number() over (order by case alert_level when 'strong' then 3 when 'mild' then 2 when 'none' then 1 else 0 end desc, drift_magnitude desc, confidence desc, article_count desc, segment)"
 _REL = lambda t: f"case when contains(lower(coalesce(title, '')), '{t}') then 1.0::double when contains(lower(concat_ws(' ', title, summary)), '{t}') then 0.95::double else 0.0::double end"
 SQL = {
-    "cluster_signals": _CS,
     "topic_relevance": f"""with {_one("title", "summary")}, r as (select article_id, greatest({_REL("školních")}, {_REL("schulen")}, {_REL("classes")}) as relevance from one)
         select * from r where relevance >= {C.RELEVANCE_THRESHOLD}""",
     "derived_topic_links": rf"""with {S.ARTICLE}, seeds(alias_key, known, alias_language, pos) as (values {", ".join(_SEEDS)}), k as (select alias_key, arg_min(known, pos) as known from seeds group by 1),
@@ -125,5 +94,5 @@ SQL = {
 }
 QUERIES = {
     f.__name__: f
-    for f in (cluster_signals, cluster_observations, cluster_segment_rollup, top_observations, pair_costs, cue_signals, topic_relevance, derived_topic_links, title_entities, brief_row)
+    for f in (cluster_signals, cluster_observations, cluster_segment_rollup, top_observations, cue_signals, topic_relevance, derived_topic_links, title_entities, brief_row)
 }

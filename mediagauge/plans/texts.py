@@ -44,7 +44,7 @@ def canonical_urls(spark: SparkSession, root: str) -> DataFrame:
 def frames(spark: SparkSession, root: str) -> DataFrame:
     """Signals per canonical frame and finer frame."""
     rows = signal_view(table(spark, root, "signals"))
-    details = C.frame_detail_aliases()
+    details = C.FRAME_DETAIL_ALIASES
     detail = T.canonical_frame(F.col("dominant_frame"), details)
     known = F.when(detail.isin(*C.FRAME_DETAILS), detail).otherwise("neutral")
     return rows.groupBy("frame", known.alias("frame_detail")).agg(F.count("*").alias("n"))
@@ -120,16 +120,17 @@ _words = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}\p{{M}}_]+'
 _PLAIN = "lower(strip_accents(trim(topic)))"
 _KEYED = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(trim(topic))), '[_-]+', ' ', 'g'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 _SEEDS, _pos = [], 0
-for _t, _n, _d, _by in C.TOPIC_SEEDS:
+for _seed in C.TOPIC_SEEDS:
+    _t = _seed["topic"]
     _SEEDS.append(f"('{_t}', '{_t}', null, {_pos})")
-    for _l, _names in _by.items():
-        for _name in _names.split(", "):
+    for _l in C.SEED_LANGUAGES:
+        for _name in _seed[_l]:
             _pos += 1
             _SEEDS.append(f"(lower(strip_accents('{_name}')), '{_t}', '{_l}', {_pos})")
 _DOMAIN = "case " + " ".join(
-    "when " + " or ".join(f"contains(lower(trim(topic)), '{w}')" for w in words.split()) + f" then '{d}'" for d, words in C.DOMAIN_KEYWORDS
+    "when " + " or ".join(f"contains(lower(trim(topic)), '{w}')" for w in words) + f" then '{d}'" for d, words in C.DOMAIN_KEYWORDS.items()
 ) + f" else '{C.DEFAULT_DOMAIN}' end"
-_DETAIL = S.case(S._KEY, C.frame_detail_aliases(), "'neutral'")
+_DETAIL = S.case(S._KEY, C.FRAME_DETAIL_ALIASES, "'neutral'")
 SQL = {
     "title_keys": f"""with {_one("title")}, w as (select article_id, title, {_words("title")} as words from one)
         select article_id, {_collapse("title")} as title, case when length(array_to_string(words, ' ')) >= 12 and len(words) >= 2 then array_to_string(words, ' ') end as title_key,

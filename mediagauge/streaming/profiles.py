@@ -34,7 +34,7 @@ def unique_by(stream: DataFrame, key: str, ts: str, delay: str = "30 days") -> D
 
 def windowed_profiles(stream: DataFrame, ts: str, width: str = "7 days", delay: str = "1 day") -> DataFrame:
     """Weighted sums per window and segment; complete when the watermark has passed the window."""
-    framed = stream.withColumn("frame", canonical_frame(F.col("dominant_frame"), C.frame_aliases()))
+    framed = stream.withColumn("frame", canonical_frame(F.col("dominant_frame"), C.FRAME_ALIASES))
     rows = unpivot_segments(framed.withWatermark(ts, delay), [ts, "article_id"])
     sums = [F.sum(F.col(k) * F.col("weight")).alias(f"sum_{k}") for k in C.SIGNALS]
     grouped = rows.groupBy(F.window(ts, width).alias("w"), "segment").agg(*sums, F.sum("weight").alias("weight"), F.count("*").alias("article_count"))

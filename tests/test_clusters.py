@@ -63,8 +63,8 @@ def test_assignment_is_optimal(shape):
 
 
 def test_best_assignment_prefers_more_matches(spark):
-    df = spark.createDataFrame([(1, 1, 0.0), (1, 2, 0.2), (2, 1, 0.1), (9, 9, 0.25)], "cluster_id long, track_id long, distance double")
-    assert {tuple(r) for r in K.best_assignment(df).collect()} == {(1, 2, 0.2), (2, 1, 0.1), (9, 9, 0.25)}
+    df = spark.createDataFrame([(1, 1, 0.0, 0.1), (1, 2, 0.2, 0.3), (2, 1, 0.1, 0.2), (9, 9, 0.25, 0.4), (9, 8, 0.0, 0.6), (5, 5, 0.2, 0.5), (6, 6, 0.3, None)], "cluster_id long, track_id long, distance double, cost double")
+    assert {tuple(r) for r in K.best_assignment(df).collect()} == {(1, 2, 0.2, 0.3), (2, 1, 0.1, 0.2), (9, 9, 0.25, 0.4)}
     assert K.best_assignment(df.limit(0)).count() == 0
 
 
