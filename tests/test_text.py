@@ -48,7 +48,7 @@ def test_embedding_text(spark):
 
 @pytest.mark.parametrize(("raw", "frame"), [("Risk", "fear"), ("human-interest", "human_interest"), (None, "neutral"), ("", "neutral"), (" Debate ", "conflict")])
 def test_frames(spark, raw, frame):
-    assert on(spark, lambda c: T.canonical_frame(c, C.frame_aliases()), [raw]) == [frame]
+    assert on(spark, lambda c: T.canonical_frame(c, C.FRAME_ALIASES), [raw]) == [frame]
 
 
 def test_urls_and_domains(spark):
