@@ -136,7 +136,7 @@ READY_CONFIDENCE = 0.4
 MILD_ALERT, STRONG_ALERT = 0.20, 0.45
 MIX_SHIFT, MIX_LOW_SAMPLE = 0.25, 5
 EFFECT_MARGIN = 0.05
-RELEVANCE_THRESHOLD = 0.55
+RELEVANCE_THRESHOLD, RELEVANCE_HIGH = 0.55, 0.80
 DUPLICATE_RULES = ((0.97, 0.20), (0.93, 0.60))
 MATCH_GATE = 0.25
 UNMATCHED_COST = 0.5

@@ -164,3 +164,23 @@ def keyword_domain(c: Column, rules: dict[str, list[str]], default: str) -> Colu
 def age_days(ts: Column, as_of: Column) -> Column:
     """Whole days before ``as_of``, at least 0."""
     return F.greatest(F.lit(0), F.floor((F.unix_timestamp(as_of) - F.unix_timestamp(ts)) / 86_400).cast("int"))
+
+
+def _mapped(c: Column, table: dict[str, str]) -> Column:
+    """The value that ``table`` has for c, null if none."""
+    return F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), lambda k, _: k == c)), 0)
+
+
+def canonical_segment(c: Column, aliases: dict[str, str]) -> Column:
+    """A segment's name without brackets, in snake case, through the aliases; empty for null."""
+    bare = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\([^)]*\)", ""))), r"[- ]", "_")
+    key = F.regexp_replace(bare, "[^a-z0-9_]", "")
+    return F.coalesce(_mapped(key, aliases), key)
+
+
+def canonical_drift_type(c: Column, aliases: dict[str, str]) -> Column:
+    """A drift type through the aliases; of several types divided by | or / the first known one; empty for null."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[- ]", "_"), "[^a-z0-9_|/]", "")
+    parts = F.transform(F.split(key, r"[|/]+"), lambda p: F.trim(p, F.lit("_")))
+    known = F.filter(F.transform(parts, lambda p: _mapped(p, aliases)), lambda p: p.isNotNull())
+    return F.coalesce(_mapped(key, aliases), F.get(known, 0), key)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with a QUERIES dict and an SQL dict.
-MODULES = ("timestamps", "profiles", "texts", "clusters", "evaluation", "selection", "stories", "streams")
+MODULES = ("timestamps", "profiles", "texts", "clusters", "evaluation", "selection", "stories", "checks", "streams")
 
 
 def queries() -> dict[str, Query]:

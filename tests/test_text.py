@@ -79,3 +79,13 @@ def test_latest_rows_and_order(spark):
     assert [(r["pos"], r["embedding_id"]) for r in latest.in_given_order(e, "embedding_id", [3, 1, 3, 9]).orderBy("pos").collect()] == [(0, 3), (1, 1), (2, 3)]
     a = spark.createDataFrame([("CZ", None, 1), ("CZ", "cs", 2)], "country string, language string, x int")
     assert latest.null_safe_scope(a, a, ["country", "language"]).count() == 2
+
+
+@pytest.mark.parametrize(("raw", "name"), [("Young-Urban Adults (18-30)", "young_urban"), ("Families", "family"), ("others!", "others"), (None, "")])
+def test_segment_names(spark, raw, name):
+    assert on(spark, lambda c: T.canonical_segment(c, C.SEGMENT_ALIASES), [raw]) == [name]
+
+
+@pytest.mark.parametrize(("raw", "name"), [("Concern", "concern_spike"), ("odd | Purchase Surge / mixed", "purchase_surge"), ("odd", "odd"), (None, "")])
+def test_drift_types(spark, raw, name):
+    assert on(spark, lambda c: T.canonical_drift_type(c, C.DRIFT_TYPE_ALIASES), [raw]) == [name]
