@@ -7,6 +7,7 @@ and put in place at the end, so a failed write leaves the old table as it was.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from pathlib import Path
 
@@ -55,25 +56,38 @@ def _fs(spark: SparkSession, path: str):
 
 
 def write_together(spark: SparkSession, tables: dict[str, DataFrame], root: str, run_id: str) -> None:
-    """Write the tables of one run below ``root/<table>/run_id=<run_id>``, all or none.
+    """Write the tables of one run below ``root``, all or none; ``read_together`` reads them.
 
-    Every table is staged first; only when all succeeded are they moved in place. A run that is
-    already there is replaced.
+    Each write goes to a folder of its own; a run counts as written once its manifest is renamed
+    into place, which is one step. The latest manifest of a run replaces earlier ones, a failed
+    write leaves no trace but unread files, which are removed.
     """
-    stage = f"{root}/.stage-{uuid.uuid4().hex}"
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    data = f"{root}/data/{run_id}/{version}"
     try:
         for name, df in tables.items():
-            df.write.parquet(f"{stage}/{name}")
-        for name in tables:
-            source, fs = _fs(spark, f"{stage}/{name}")
-            target, _ = _fs(spark, f"{root}/{name}/run_id={run_id}")
-            fs.delete(target, True)
-            fs.mkdirs(target.getParent())
-            if not fs.rename(source, target):
-                raise OSError(f"could not move {name} in place")
-    finally:
-        staged, fs = _fs(spark, stage)
-        fs.delete(staged, True)
+            df.write.parquet(f"{data}/{name}")
+        draft = f"{root}/manifests/.draft-{version}"
+        told = json.dumps({"run_id": run_id, "tables": {name: f"{data}/{name}" for name in tables}})
+        spark.createDataFrame([(told,)], "value string").coalesce(1).write.text(draft)
+        source, fs = _fs(spark, draft)
+        target, _ = _fs(spark, f"{root}/manifests/{run_id}@{version}")
+        if not fs.rename(source, target):
+            raise OSError(f"could not put the manifest of {run_id} in place")
+    except BaseException:
+        unread, fs = _fs(spark, data)
+        fs.delete(unread, True)
+        raise
+
+
+def read_together(spark: SparkSession, root: str, name: str, run_id: str) -> DataFrame:
+    """The table ``name`` of a run as its latest manifest has it; raises if the run was never written."""
+    folder, fs = _fs(spark, f"{root}/manifests")
+    found = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().startswith(f"{run_id}@")) if fs.exists(folder) else []
+    if not found:
+        raise LookupError(f"run {run_id} is not there")
+    told = json.loads(spark.read.text(f"{root}/manifests/{found[-1]}").first()[0])
+    return spark.read.parquet(told["tables"][name])
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:

@@ -64,12 +64,16 @@ def test_merges(spark):
 def test_tables_are_written_together(spark, tmp_path):
     good, root = spark.range(3), str(tmp_path / "db")
     sinks.write_together(spark, {"one": good, "two": good}, root, "r1")
-    assert spark.read.parquet(f"{root}/one/run_id=r1").count() == 3
+    assert sinks.read_together(spark, root, "one", "r1").count() == 3
     bad = spark.range(2).select(F.raise_error(F.lit("stop")).alias("x"), "id")
     with pytest.raises(Exception, match="stop"):
         sinks.write_together(spark, {"one": spark.range(9), "two": bad}, root, "r1")
-    assert spark.read.parquet(f"{root}/one/run_id=r1").count() == 3
-    assert not [p for p in (tmp_path / "db").iterdir() if p.name.startswith(".stage")]
+    assert sinks.read_together(spark, root, "one", "r1").count() == 3 == sinks.read_together(spark, root, "two", "r1").count()
+    assert len(list((tmp_path / "db/data/r1").iterdir())) == 1
+    sinks.write_together(spark, {"one": spark.range(5)}, root, "r1")
+    assert sinks.read_together(spark, root, "one", "r1").count() == 5
+    with pytest.raises(LookupError):
+        sinks.read_together(spark, root, "one", "r")
     sinks.write_report({"a": "č"}, str(tmp_path / "x/report.json"))
     assert json.loads((tmp_path / "x/report.json").read_text())["a"] == "č"
     sinks.overwrite_partitions(spark.createDataFrame([(1, "p"), (2, "q")], "v int, k string"), f"{root}/p", ["k"])
