@@ -15,6 +15,7 @@ from mediagauge.plans import profiles as P
 from mediagauge.plans import sqltext as S
 from mediagauge.plans.texts import _one
 from mediagauge.session import materialize
+from mediagauge.sources.scans import enabled_feeds
 from mediagauge.tables import table
 
 
@@ -111,7 +112,7 @@ def segment_ranking(spark: SparkSession, root: str) -> DataFrame:
 def table_counts(spark: SparkSession, root: str) -> DataFrame:
     """Rows of every table."""
     out = None
-    for name in ("articles", "signals", "collection_runs", "article_embeddings", "cluster_memberships", "model_labels", "majority_baseline", "feeds", "label_aliases"):
+    for name in ("articles", "signals", "collection_runs", "article_embeddings", "cluster_memberships", "model_labels", "majority_baseline", "feeds", "label_aliases", "documents", "eval_items", "moderation_labels"):
         one = table(spark, root, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
         out = one if out is None else out.union(one)
     return out
@@ -119,7 +120,7 @@ def table_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def feed_catalog(spark: SparkSession, root: str) -> DataFrame:
     """Enabled Czech feeds with the share of each segment that their affinity suggests."""
-    feeds = table(spark, root, "feeds").where(F.col("enabled") & (F.upper(F.trim("country")) == "CZ"))
+    feeds = enabled_feeds(table(spark, root, "feeds"), country="cz")
     rows = [(a, *v) for a, v in C.AFFINITY_PRIORS.items()]
     priors = literal_table(spark, rows, "affinity_tag string, " + ", ".join(f"prior_{s} double" for s in C.SEGMENTS))
     return feeds.join(F.broadcast(priors), "affinity_tag", "left").select("outlet", "affinity_tag", *[f"prior_{s}" for s in C.SEGMENTS])
@@ -187,7 +188,7 @@ SQL = {
           case when confidence >= 0.7 then 'high' when confidence >= 0.4 then 'medium' else 'exploratory' end as confidence_label from r""",
     "table_counts": " union all ".join(
         f"select '{t}' as table_name, count(*) as n from {t}"
-        for t in ("articles", "signals", "collection_runs", "article_embeddings", "cluster_memberships", "model_labels", "majority_baseline", "feeds", "label_aliases")
+        for t in ("articles", "signals", "collection_runs", "article_embeddings", "cluster_memberships", "model_labels", "majority_baseline", "feeds", "label_aliases", "documents", "eval_items", "moderation_labels")
     ),
     "feed_catalog": f"select outlet, affinity_tag, {', '.join(_prior(s) + f' as prior_{s}' for s in C.SEGMENTS)} from feeds where enabled and upper(trim(country)) = 'CZ'",
     "blended_shares": f"""with {_STD}, b as (select std_outlet, {", ".join(f"round(0.7 * round({_soft(s)} / ({_total}), 4) + 0.3 * ({_prior(s)}), 4) as {s}" for s in C.SEGMENTS)} from std)

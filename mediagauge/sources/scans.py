@@ -85,7 +85,7 @@ def enabled_feeds(feeds: DataFrame, country: str | None = None, outlet: str | No
     """Enabled feeds, of a country or outlet if given, whatever the case."""
     df = feeds.where("enabled")
     if country:
-        df = df.where(F.upper("country") == country.strip().upper())
+        df = df.where(F.upper(F.trim("country")) == country.strip().upper())
     return df.where(F.lower("outlet") == outlet.strip().lower()) if outlet else df
 
 
