@@ -23,5 +23,6 @@ def p8_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return round_trips(table(spark, root, "documents"))
 
 
-SQL = {"p8_round_trip": "select doc_id, true as same from documents"}
+# No SQL: a constant would test nothing; the tests decode the ids.
+SQL: dict[str, str] = {}
 QUERIES = {"p8_ids": p8_ids, "p8_source_tokens": p8_source_tokens, "p8_round_trip": p8_round_trip}
