@@ -22,7 +22,7 @@ from mediagauge.operators.outlets import with_standard_outlet
 from mediagauge.session import materialize, shared_dir
 
 #: Buckets of the state; a batch reads and rewrites those that its contributors fall into.
-BUCKETS = 32
+BUCKETS = 8
 #: Batches into which ``cap_signals`` divides a backlog, by time.
 BATCHES = 3
 DISPLACED, RESTORED = "displaced", "restored"
@@ -149,7 +149,8 @@ def cap_batch(state: CapState, batch: DataFrame, updates: bool = True) -> CapSta
     for k in keys:
         owned = owned & F.col(k).isNotNull()
     rows = batch.select(*columns).where("id is not null").withColumn("bucket", F.when(owned, _bucket(keys)))
-    rows = materialize(rows, "cap-batch")
+    if updates:  # without updates the batch is read twice only
+        rows = materialize(rows, "cap-batch")
     touched = {r[0] for r in rows.select("bucket").distinct().collect()}
     free, buckets = None in touched, touched - {None}
     mine = rows.where("bucket is not null")
